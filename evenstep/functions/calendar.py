@@ -3,27 +3,36 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evenstep.errors import FeatureError
 from evenstep.functions.stamps import floor_to, stamp_micros, step_micros
 from evenstep.schema import FRAME_START, SERIES, TS, keys_of, require_panel
+from evenstep.sources.storage import settle
 
 # Fixed values: (column, values in one turn, first value).
 CYCLES = (("hour", 24, 0), ("dayofweek", 7, 0), ("month", 12, 1))
 
-# US federal holidays. Floating ones are (month, weekday with Monday=0, first and last day of
-# the month on which they can fall, first year); fixed ones are (month, day, first year).
+CALENDAR_NAMES = (
+    ["hour", "dayofweek", "month"]
+    + [f"{name}_{part}" for name, _, _ in CYCLES for part in ("sin", "cos")]
+    + ["is_weekend", "is_holiday"]
+)
+
+# US federal holidays, days written as month * 100 + day of month. Floating ones are (weekday with
+# Monday=0, first and last day on which they can fall, first year); fixed ones are (day, first year).
 FLOATING_HOLIDAYS = (
-    (1, 0, 15, 21, 1986),
-    (2, 0, 15, 21, None),
-    (5, 0, 25, 31, None),
-    (9, 0, 1, 7, None),
-    (10, 0, 8, 14, None),
-    (11, 3, 22, 28, None),
+    (0, 115, 121, 1986),
+    (0, 215, 221, None),
+    (0, 525, 531, None),
+    (0, 901, 907, None),
+    (0, 1008, 1014, None),
+    (3, 1122, 1128, None),
 )
-FIXED_HOLIDAYS = ((1, 1, None), (6, 19, 2021), (7, 4, None), (11, 11, None), (12, 25, None))
+FIXED_HOLIDAYS = ((101, None), (619, 2021), (704, None), (1111, None), (1225, None))
 
 
 def cyclic(value: Column, period: int, first: int = 0) -> tuple[Column, Column]:
@@ -32,41 +41,44 @@ def cyclic(value: Column, period: int, first: int = 0) -> tuple[Column, Column]:
     return F.sin(angle), F.cos(angle)
 
 
-def _is_fixed_date(day: Column) -> Column:
-    hit = F.lit(False)
-    for month, dom, since in FIXED_HOLIDAYS:
-        match = (F.month(day) == month) & (F.dayofmonth(day) == dom)
-        hit = hit | (match & (F.year(day) >= since) if since else match)
-    return hit
-
-
 def is_federal_holiday(day: Column) -> Column:
     """Whether a DATE is an observed US federal holiday.
 
     A fixed holiday on a Saturday is observed on the Friday before, one on a Sunday on the Monday after.
     """
-    weekday = F.weekday(day)
-    hit = F.lit(False)
-    for month, on, low, high, since in FLOATING_HOLIDAYS:
-        match = (F.month(day) == month) & (weekday == on) & F.dayofmonth(day).between(low, high)
-        hit = hit | (match & (F.year(day) >= since) if since else match)
-    observed = (
-        _is_fixed_date(day)
-        | ((weekday == 4) & _is_fixed_date(F.date_add(day, 1)))
-        | ((weekday == 0) & _is_fixed_date(F.date_sub(day, 1)))
-    )
-    return hit | ((weekday < 5) & observed)
+    # A day in June falls in the year of its neighbours, so the year need not move with the day.
+    year, weekday = F.year(day), F.weekday(day)
+
+    def month_day(shift: int) -> Column:
+        moved = F.date_add(day, shift) if shift else day
+        return F.month(moved) * 100 + F.dayofmonth(moved)
+
+    def since(first: int | None, match: Column) -> Column:
+        return match & (year >= first) if first else match
+
+    def fixed(shift: int) -> Column:
+        there = month_day(shift)
+        always = there.isin([on for on, first in FIXED_HOLIDAYS if first is None])
+        return reduce(or_, [since(first, there == on) for on, first in FIXED_HOLIDAYS if first], always)
+
+    today = month_day(0)
+    floating = [
+        since(first, (weekday == on) & today.between(low, high)) for on, low, high, first in FLOATING_HOLIDAYS
+    ]
+    observed = ((weekday < 5) & fixed(0)) | ((weekday == 4) & fixed(1)) | ((weekday == 0) & fixed(-1))
+    return reduce(or_, floating) | observed
 
 
 def with_frame_start(frame: DataFrame) -> DataFrame:
     """Add the first stamp of each slice, unless the frame already carries it.
 
-    One row per slice is joined back; which side is broadcast, if any, is left to the runtime statistics.
+    One row per slice is stored and joined back, so whether it is broadcast follows from its measured size.
     """
     if FRAME_START in frame.columns:
         return frame
     keys = keys_of(frame)
-    return frame.join(frame.groupBy(*keys).agg(F.min(TS).alias(FRAME_START)), keys, "left")
+    starts = settle(frame.groupBy(*keys).agg(F.min(TS).alias(FRAME_START)))
+    return frame.join(starts, keys, "left")
 
 
 def calendar_columns(holidays: bool = True) -> list[tuple[str, Column]]:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evenstep.errors import ForecastError
 from evenstep.schema import SERIES, Y, YHAT, feature_columns
@@ -37,12 +37,13 @@ class LinearForecaster:
         absent = sorted(set(self.features) - set(frame.columns))
         if absent:
             raise ForecastError(f"cannot predict: feature(s) {absent} absent")
+        # Written as text: a roster-sized forecast has some five hundred terms, and each built as a Column costs
+        # far more on the driver than parsing all of them.
+        width = len(self.features)
         steps = []
         for h in range(self.horizon):
-            total = F.col("_intercept")[h]
-            for i, name in enumerate(self.features):
-                total = total + F.col("_weights")[h * len(self.features) + i] * F.col(name)
-            steps.append(total)
+            terms = [f"_weights[{h * width + i}] * `{name}`" for i, name in enumerate(self.features)]
+            steps.append(F.expr(" + ".join([f"_intercept[{h}]", *terms])))
         flat = self.coefficients.select(
             SERIES, F.col("intercept").alias("_intercept"), F.flatten("weights").alias("_weights")
         )
@@ -59,21 +60,22 @@ def fit_linear(train: DataFrame, features: Sequence[str] | None = None, horizon:
     """
     names = list(features) if features is not None else feature_columns(train)
     p = len(names)
-    outputs = [F.element_at(Y, h) for h in range(1, horizon + 1)]
-    deviation = [F.coalesce(F.stddev_pop(c), F.lit(0.0)) for c in names]
+
+    def listed(calls: list[str], name: str) -> Column:
+        return F.expr(f"array({', '.join(calls)})").alias(name)
+
     moments = settle(
         train.groupBy(SERIES).agg(
-            F.array(*[F.avg(c) for c in names]).alias("x_mean"),
-            F.array(*deviation).alias("x_std"),
-            F.array(*[F.avg(y) for y in outputs]).alias("y_mean"),
+            listed([f"avg(`{c}`)" for c in names], "x_mean"),
+            listed([f"coalesce(stddev_pop(`{c}`), 0D)" for c in names], "x_std"),
+            listed([f"avg({Y}[{h}])" for h in range(horizon)], "y_mean"),
         )
     )
     standard = [
-        F.when(F.col("x_std")[i] > 0, (F.col(c) - F.col("x_mean")[i]) / F.col("x_std")[i]).otherwise(0.0).alias(f"x{i}")
-        for i, c in enumerate(names)
+        f"CASE WHEN x_std[{i}] > 0 THEN (`{c}` - x_mean[{i}]) / x_std[{i}] ELSE 0D END AS x{i}" for i, c in enumerate(names)
     ]
-    centred = [(y - F.col("y_mean")[h]).alias(f"y{h}") for h, y in enumerate(outputs)]
-    rows = train.join(moments, SERIES).select(SERIES, *standard, *centred)
+    centred = [f"{Y}[{h}] - y_mean[{h}] AS y{h}" for h in range(horizon)]
+    rows = train.join(moments, SERIES).selectExpr(SERIES, *standard, *centred)
 
     sums = f"{SERIES} string, n bigint, xx array<double>, xy array<double>"
     partial = rows.mapInPandas(lambda batches: _cross_products(batches, p), sums)

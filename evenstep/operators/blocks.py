@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from evenstep.functions.stamps import floor_to, stamp_micros
-from evenstep.schema import TS, keys_of
+from evenstep.schema import FRAME_START, TS, keys_of
 
-MICROS, BLOCK, HOME = "_micros", "_block", "_home"
+MICROS, BLOCK, HOME, GRIDDED = "_micros", "_block", "_home", "_gridded"
 
 #: Steps per block of the small per-block tables that ranks and running totals are built from.
 TOTALS_BLOCK = 16_384
@@ -27,17 +27,28 @@ def block_steps(reach: int) -> int:
 def to_blocks(
     frame: DataFrame, step: int, back: int = 0, ahead: int = 0, steps_per_block: int | None = None
 ) -> DataFrame:
-    """Add ``_micros``, ``_block``, ``_home``; home rows see ``back`` steps behind and ``ahead`` steps in front."""
+    """Add ``_micros``, ``_block``, ``_home``; home rows see ``back`` steps behind and ``ahead`` steps in front.
+
+    A frame that knows where its slices start also gets ``_gridded``: whether the row sits a whole number of
+    steps after that start.
+
+    The rows are spread by (series, split, block) explicitly. Left to itself, a window would accept rows
+    already spread by series alone, after a join on it say, and put a hot series into one task after all.
+    """
     width = step * (steps_per_block or block_steps(back + ahead))
     micros = F.col(MICROS)
     framed = frame.withColumn(MICROS, stamp_micros(TS))
+    if FRAME_START in frame.columns:
+        framed = framed.withColumn(GRIDDED, F.pmod(micros - stamp_micros(FRAME_START), F.lit(step)) == 0)
     home = floor_to(micros, width)
     if back == 0 and ahead == 0:
-        return framed.withColumns({BLOCK: home, HOME: F.lit(True)})
-    # A row is needed by every block that holds a stamp within its reach: `ahead` before it to `back` after it.
-    first, last = floor_to(micros - ahead * step, width), floor_to(micros + back * step, width)
-    copied = framed.withColumn(BLOCK, F.explode(F.sequence(first, last)))
-    return copied.withColumn(HOME, F.col(BLOCK) == home)
+        blocked = framed.withColumns({BLOCK: home, HOME: F.lit(True)})
+    else:
+        # A row is needed by every block that holds a stamp within its reach: `ahead` before it to `back` after it.
+        first, last = floor_to(micros - ahead * step, width), floor_to(micros + back * step, width)
+        copied = framed.withColumn(BLOCK, F.explode(F.sequence(first, last)))
+        blocked = copied.withColumn(HOME, F.col(BLOCK) == home)
+    return blocked.repartition(*keys_of(frame), BLOCK)
 
 
 def in_block(frame: DataFrame) -> WindowSpec:
@@ -46,7 +57,7 @@ def in_block(frame: DataFrame) -> WindowSpec:
 
 
 def home_rows(frame: DataFrame) -> DataFrame:
-    return frame.where(F.col(HOME)).drop(MICROS, BLOCK, HOME)
+    return frame.where(F.col(HOME)).drop(MICROS, BLOCK, HOME, GRIDDED)
 
 
 def steps_between(spec: WindowSpec, start: int, end: int, step: int) -> WindowSpec:
@@ -54,11 +65,6 @@ def steps_between(spec: WindowSpec, start: int, end: int, step: int) -> WindowSp
     return spec.rangeBetween(start * step, end * step)
 
 
-def on_grid(start: str, step: int) -> Column:
-    """Whether a row sits a whole number of steps after the start of its slice."""
-    return F.pmod(F.col(MICROS) - stamp_micros(start), F.lit(step)) == 0
-
-
 def stamps_at(
     rows: DataFrame,
     positions: dict[str, Column],

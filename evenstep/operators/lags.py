@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import timedelta
+from math import isqrt
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from evenstep.errors import FeatureError
 from evenstep.functions.calendar import with_frame_start
 from evenstep.functions.stamps import step_micros
-from evenstep.operators.blocks import BLOCK, home_rows, in_block, on_grid, steps_between, to_blocks
-from evenstep.schema import FRAME_START, VALUE, keys_of, require_panel, require_unique_stamps
+from evenstep.operators.blocks import BLOCK, GRIDDED, home_rows, in_block, steps_between, to_blocks
+from evenstep.schema import FRAME_START, VALUE, all_of, keys_of, require_panel, require_unique_stamps
+
+
+#: Longest trailing window that is recomputed for every row; longer ones are put together from parts.
+DIRECT_WINDOW = 32
 
 
 def require_periods(lags: Sequence[int], rolling: Sequence[int]) -> None:
@@ -27,6 +32,16 @@ def lag_names(lags: Sequence[int], rolling: Sequence[int]) -> list[str]:
     return [f"lag_{lag}h" for lag in lags] + stats
 
 
+def with_history(frame: DataFrame, lags: Sequence[int], rolling: Sequence[int], target: str = VALUE) -> DataFrame:
+    """Rows whose target, lags and trailing statistics are all known.
+
+    A trailing deviation is known exactly when its mean is, so the filter does not name it: pushed below the
+    projection, the filter would work out its long expression a second time.
+    """
+    needed = [target, *[n for n in lag_names(lags, rolling) if not n.startswith("rolling_std_")]]
+    return frame.where(all_of([F.col(name).isNotNull() for name in needed]))
+
+
 def add_lags(
     blocked: DataFrame, lags: Sequence[int], rolling: Sequence[int], step: int, target: str = VALUE
 ) -> DataFrame:
@@ -34,18 +49,82 @@ def add_lags(
 
     Off-grid rows neither get features nor lend their value to others.
     """
-    spec, gridded = in_block(blocked), on_grid(FRAME_START, step)
-    known = F.when(gridded, F.col(target))
-    columns = {}
-    for lag in lags:
-        exactly = steps_between(spec, -lag, -lag, step)
-        columns[f"lag_{lag}h"] = F.when(gridded, F.max(known).over(exactly))
+    spec = in_block(blocked)
+    gridded = F.col(GRIDDED)
+    known = blocked.withColumn("_known", F.when(gridded, F.col(target)))
+    columns = {
+        f"lag_{lag}h": F.when(gridded, F.max("_known").over(steps_between(spec, -lag, -lag, step))) for lag in lags
+    }
+    out, held = _trailing(known.withColumns(columns), rolling, spec, step)
     for window in rolling:
-        trailing = steps_between(spec, -window, -1, step)
-        full = gridded & (F.count(known).over(trailing) == window)
-        columns[f"rolling_mean_{window}h"] = F.when(full, F.avg(known).over(trailing))
-        columns[f"rolling_std_{window}h"] = F.when(full, F.stddev_samp(known).over(trailing))
-    return blocked.withColumns(columns)
+        mean, squares = held[window]
+        out = out.withColumns(
+            {
+                f"rolling_mean_{window}h": F.when(gridded, F.col(mean)),
+                f"rolling_std_{window}h": F.when(gridded, F.sqrt(F.col(squares) / (window - 1))),
+            }
+        )
+    kept = [*blocked.columns, *lag_names(lags, rolling)]
+    return out.select(*dict.fromkeys(kept))
+
+
+def _trailing(
+    frame: DataFrame, windows: Sequence[int], spec: WindowSpec, step: int
+) -> tuple[DataFrame, dict[int, tuple[str, str]]]:
+    """Mean and sum of squared deviations of ``_known`` over the steps before a row, null unless complete.
+
+    A sliding frame is recomputed for every row, at a cost that grows with its length. A long window is
+    therefore put together from adjoining shorter ones, each read off the row it ends at: means add up by
+    weight, and squared deviations are those inside the parts plus those of the part means. Nothing is
+    subtracted, so no precision is lost, and a missing part makes the whole null.
+    """
+    held: dict[int, tuple[str, str]] = {}
+
+    def add(length: int) -> None:
+        nonlocal frame
+        if length in held:
+            return
+        names = (f"_mean_{length}", f"_squares_{length}")
+        if length <= DIRECT_WINDOW:
+            over = steps_between(spec, -length, -1, step)
+            full = F.count("_known").over(over) == length
+            spread = F.var_pop("_known").over(over) * length
+            frame = frame.withColumns(
+                {names[0]: F.when(full, F.avg("_known").over(over)), names[1]: F.when(full, spread)}
+            )
+        else:
+            part = _part_length(length, windows)
+            sizes = [part] * (length // part) + ([length % part] if length % part else [])
+            for size in sizes:
+                add(size)
+            looked_up, pieces, behind = {}, [], 0
+            for size in sizes:
+                found = []
+                for name in held[size]:
+                    at = f"{name}_before_{behind}"
+                    exactly = steps_between(spec, -behind, -behind, step)
+                    looked_up[at] = F.max(name).over(exactly) if behind else F.col(name)
+                    found.append(at)
+                pieces.append((size, *found))
+                behind += size
+            mean = " + ".join(f"{size}D * {m}" for size, m, _ in pieces)
+            frame = frame.withColumns(looked_up).withColumn(names[0], F.expr(f"({mean}) / {length}D"))
+            inside = " + ".join(s for _, _, s in pieces)
+            between = " + ".join(f"{size}D * ({m} - {names[0]}) * ({m} - {names[0]})" for size, m, _ in pieces)
+            frame = frame.withColumn(names[1], F.expr(f"{inside} + {between}")).drop(*looked_up)
+        held[length] = names
+
+    for length in sorted(set(windows)):
+        add(length)
+    return frame, held
+
+
+def _part_length(length: int, windows: Sequence[int]) -> int:
+    """Length of the parts of a long window: a shorter asked-for window that fits evenly, or about its root."""
+    shared = [w for w in windows if w < length and length % w == 0 and length // w <= DIRECT_WINDOW]
+    if shared:
+        return max(shared)
+    return isqrt(length) if length <= DIRECT_WINDOW**2 else length // DIRECT_WINDOW
 
 
 def lag_features(

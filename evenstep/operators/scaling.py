@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evenstep.errors import ScalerError
 from evenstep.schema import SERIES, SPLIT, VALUE, feature_columns
+from evenstep.sources.storage import settle
 
 
 def scale_columns(frame: DataFrame, target: str = VALUE) -> list[str]:
@@ -18,8 +19,8 @@ def scale_columns(frame: DataFrame, target: str = VALUE) -> list[str]:
 class SeriesScaler:
     """Mean and sample standard deviation of chosen columns, per series.
 
-    The fitted state is a DataFrame with one row per series, joined to whatever is scaled. Nothing is
-    collected; whether that join broadcasts is decided from its measured size at run time.
+    The fitted state is a stored table with one row per series, joined to whatever is scaled. Nothing is
+    collected; whether that join broadcasts follows from the table's measured size.
     """
 
     def __init__(self, columns: Sequence[str] | None = None, kind: str = "standard") -> None:
@@ -50,7 +51,7 @@ class SeriesScaler:
         aggregates = []
         for c in columns:
             aggregates += [F.avg(c).alias(_mean(c)), F.stddev_samp(c).alias(_std(c))]
-        self.columns, self._wide = columns, train.groupBy(SERIES).agg(*aggregates)
+        self.columns, self._wide = columns, settle(train.groupBy(SERIES).agg(*aggregates))
         if check:
             constant = self.constant_columns().limit(20).collect()
             if constant:

@@ -10,6 +10,7 @@ from evenstep.errors import SequenceError, SplitError
 from evenstep.functions.stamps import step_micros
 from evenstep.operators.blocks import TOTALS_BLOCK, stamps_at
 from evenstep.schema import FRAME_START, SERIES, SPLIT, TARGET_TS, TS, keys_of, require_panel
+from evenstep.sources.storage import settle
 
 SPLITS = ("train", "validation", "test")
 
@@ -61,9 +62,11 @@ def chronological_split(
     """Add ``split`` and ``frame_start``. Never shuffled; the test split takes what truncation leaves over.
 
     Membership is a comparison of the stamp with two cut stamps per series, so rows are not ordered and no
-    row is moved for its rank. ``step`` only sizes the blocks that locate the cuts.
+    row is moved for its rank. The cuts, one row per series, are stored first: whether they are broadcast
+    then follows from their measured size. The series is read three times; pass a stored one. ``step`` only
+    sizes the blocks that locate the cuts.
     """
-    bounds = split_bounds(series, train, validation, test, step, steps_per_block)
+    bounds = settle(split_bounds(series, train, validation, test, step, steps_per_block))
     if check:
         n = F.col("n")
         empty = (F.least(_share(n, train), _share(n, validation), n - _share(n, train) - _share(n, validation)) < 1)
@@ -114,7 +117,7 @@ def tail_holdout(
         raise SequenceError(f"no column {stamp!r}; the frame has {windows.columns}")
     keys = keys_of(windows)
     cut = _share(F.col("n"), 1.0 - fraction)
-    bounds = stamps_at(windows, {"_cut": cut}, keys, stamp=stamp, step=step_micros(step))
+    bounds = settle(stamps_at(windows, {"_cut": cut}, keys, stamp=stamp, step=step_micros(step)))
     if check:
         refused = bounds.where((cut < 1) | (cut >= F.col("n"))).limit(1).collect()
         if refused:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from evenstep.errors import TargetError
 from evenstep.functions.calendar import with_frame_start
 from evenstep.functions.stamps import shift_stamp, step_micros
-from evenstep.operators.blocks import home_rows, in_block, on_grid, steps_between, to_blocks
+from evenstep.operators.blocks import GRIDDED, home_rows, in_block, steps_between, to_blocks
 from evenstep.schema import (
     FRAME_START,
     TARGET_TS,
@@ -24,13 +24,13 @@ from evenstep.schema import (
 
 
 def add_targets(blocked: DataFrame, horizon: int, step: int, target: str = VALUE) -> DataFrame:
-    """``y`` and ``target_ts`` on a frame in blocks. A row without a complete future keeps a shorter ``y``."""
-    gridded = on_grid(FRAME_START, step)
-    ahead = steps_between(in_block(blocked), 1, horizon, step)
-    future = F.collect_list(F.when(gridded, F.col(target))).over(ahead)
-    return blocked.withColumns(
-        {Y: F.when(gridded, future).otherwise(F.array().cast("array<double>")), TARGET_TS: shift_stamp(TS, step)}
-    )
+    """``y`` and ``target_ts`` on a frame in blocks. A row without a complete future keeps a shorter ``y``.
+
+    Off-grid rows lend no values and have no future, so they fall away.
+    """
+    known = blocked.withColumn("_known", F.when(F.col(GRIDDED), F.col(target)))
+    future = F.collect_list("_known").over(steps_between(in_block(blocked), 1, horizon, step))
+    return known.withColumns({Y: future, TARGET_TS: shift_stamp(TS, step)}).where(F.col(GRIDDED)).drop("_known")
 
 
 def horizon_targets(

@@ -7,14 +7,14 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
-from evenstep.functions.calendar import add_calendar, calendar_columns, with_frame_start
+from evenstep.functions.calendar import CALENDAR_NAMES, add_calendar, with_frame_start
 from evenstep.functions.stamps import step_micros
 from evenstep.models.linear import LinearForecaster, fit_linear
 from evenstep.models.naive import require_season, seasonal_naive
 from evenstep.models.trees import PRESETS, TreeForecaster, fit_preset
 from evenstep.operators.blocks import home_rows, to_blocks
 from evenstep.operators.evaluation import improvement_over, rmse
-from evenstep.operators.lags import add_lags, lag_names, require_periods
+from evenstep.operators.lags import add_lags, lag_names, require_periods, with_history
 from evenstep.operators.scaling import SeriesScaler, scale_columns
 from evenstep.operators.splitting import chronological_split, require_ratios
 from evenstep.operators.targets import add_targets
@@ -55,7 +55,7 @@ class Recipe:
     @property
     def features(self) -> list[str]:
         """Model inputs in order: the target, calendar columns, then history."""
-        return [VALUE, *[name for name, _ in calendar_columns()], *self.history]
+        return [VALUE, *CALENDAR_NAMES, *self.history]
 
 
 def divide(series: DataFrame, recipe: Recipe, check: bool = True) -> DataFrame:
@@ -67,7 +67,7 @@ def feature_frame(divided: DataFrame, recipe: Recipe) -> DataFrame:
     step = step_micros(recipe.step)
     blocked = to_blocks(with_frame_start(divided), step, recipe.reach, 0, recipe.steps_per_block)
     lagged = home_rows(add_lags(blocked, recipe.lags, recipe.rolling, step))
-    kept = lagged.na.drop("any", subset=[VALUE, *recipe.history])
+    kept = with_history(lagged, recipe.lags, recipe.rolling)
     return add_calendar(kept).select(*keys_of(kept), FRAME_START, TS, *recipe.features)
 
 
@@ -80,7 +80,7 @@ def supervised_frame(divided: DataFrame, recipe: Recipe) -> DataFrame:
     """
     step = step_micros(recipe.step)
     blocked = to_blocks(with_frame_start(divided), step, recipe.reach, recipe.horizon, recipe.steps_per_block)
-    kept = add_lags(blocked, recipe.lags, recipe.rolling, step).na.drop("any", subset=[VALUE, *recipe.history])
+    kept = with_history(add_lags(blocked, recipe.lags, recipe.rolling, step), recipe.lags, recipe.rolling)
     paired = home_rows(add_targets(kept, recipe.horizon, step)).where(F.size(Y) == recipe.horizon)
     return add_calendar(paired).select(*keys_of(paired), TS, TARGET_TS, *recipe.features, Y)
 

@@ -93,7 +93,7 @@ def q_validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _divided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divide(daily_quantity_by_status(spark, sf_dir), SHORT, check=False)
+    return divide(settle(daily_quantity_by_status(spark, sf_dir)), SHORT, check=False)
 
 
 def q_chronological_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +205,7 @@ def q_dataset_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _long_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settle(feature_frame(divide(daily_quantity(spark, sf_dir), LONG, check=False), LONG))
+    return settle(feature_frame(divide(settle(daily_quantity(spark, sf_dir)), LONG, check=False), LONG))
 
 
 def q_scaler_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +257,7 @@ def q_rmse_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _learned(spark: SparkSession, sf_dir: str, recipe: Recipe) -> tuple[DataFrame, DataFrame]:
-    rows = settle(supervised_frame(divide(daily_quantity(spark, sf_dir), recipe, check=False), recipe))
+    rows = settle(supervised_frame(divide(settle(daily_quantity(spark, sf_dir)), recipe, check=False), recipe))
     return rows.where(F.col(SPLIT) == "train"), rows.where(F.col(SPLIT) == "test")
 
 
