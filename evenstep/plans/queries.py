@@ -73,11 +73,11 @@ def q_duplicate_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_complete_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return complete_grid(clean(hourly_events(spark, sf_dir)), HOURLY.step, check=False)
+    return complete_grid(settle(clean(hourly_events(spark, sf_dir))), HOURLY.step, check=False)
 
 
 def q_missing_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return missing_stamps(clean(hourly_events(spark, sf_dir)), HOURLY.step)
+    return missing_stamps(settle(clean(hourly_events(spark, sf_dir))), HOURLY.step)
 
 
 def q_arrival_disorder(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +120,7 @@ def q_holiday_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hourly_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = clean(hourly_events(spark, sf_dir))
+    series = settle(clean(hourly_events(spark, sf_dir)))
     return lag_features(series, HOURLY.lags, HOURLY.rolling, HOURLY.step, check=False)
 
 
@@ -129,7 +129,7 @@ def q_lag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_lag_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lag_disagreement(clean(hourly_events(spark, sf_dir)), 3, HOURLY.step)
+    return lag_disagreement(settle(clean(hourly_events(spark, sf_dir))), 3, HOURLY.step)
 
 
 def q_rolling_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,16 +157,16 @@ def q_horizon_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_horizon_targets_of_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = horizon_targets(daily_quantity_by_status(spark, sf_dir), SHORT.horizon, SHORT.step, check=False)
+    rows = horizon_targets(settle(daily_quantity_by_status(spark, sf_dir)), SHORT.horizon, SHORT.step, check=False)
     return long_form(rows, [SERIES, TS, TARGET_TS], Y, "value")
 
 
 def q_gap_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gap_segments(daily_quantity_by_status(spark, sf_dir), SHORT.step).select(SERIES, TS, "segment")
+    return gap_segments(settle(daily_quantity_by_status(spark, sf_dir)), SHORT.step).select(SERIES, TS, "segment")
 
 
 def q_segment_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = gap_segments(daily_quantity_by_status(spark, sf_dir), SHORT.step)
+    segments = gap_segments(settle(daily_quantity_by_status(spark, sf_dir)), SHORT.step)
     return segment_lengths(segments, SHORT.sequence_length, SHORT.horizon)
 
 
@@ -179,14 +179,17 @@ def q_sequence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [VALUE, "lag_7h", "is_weekend"]
     frame = feature_frame(_divided(spark, sf_dir), SHORT)
     windows = sequence_windows(frame, 4, 2, SHORT.step, features=names, check=False)
-    keys = [SERIES, SPLIT, "start_ts", TARGET_TS]
-    x = long_form(windows, keys, "x", "_row").select(*keys, "step", F.posexplode("_row").alias("_at", "value"))
-    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_at") + 1)
-    x = x.select(*keys, "step", label.alias("column"), F.col("value").cast("double"))
-    y = long_form(windows, keys, "y", "value").select(
-        *keys, (F.col("step") + 4).alias("step"), F.lit("y").alias("column"), F.col("value").cast("double")
+
+    def cell(step: Column, column: str, value: Column) -> Column:
+        return F.struct(
+            step.cast("int").alias("step"), F.lit(column).alias("column"), value.cast("double").alias("value")
+        )
+
+    lookback = F.flatten(
+        F.transform("x", lambda row, at: F.array(*[cell(at + 1, name, row[i]) for i, name in enumerate(names)]))
     )
-    return x.unionByName(y)
+    ahead = F.transform("y", lambda value, at: cell(at + 5, "y", value))
+    return windows.select(SERIES, SPLIT, "start_ts", TARGET_TS, F.inline(F.concat(lookback, ahead)))
 
 
 def q_tail_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:

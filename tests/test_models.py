@@ -260,7 +260,7 @@ def test_recipe_arguments():
 def test_models_come_back_with_scaler_and_feature_order(spark, tmp_path, prepared_rows):
     train, test = prepared_rows
     root = str(tmp_path / "registry")
-    meta = ModelMeta("linear", "load-linear", SMALL.features, "value", SMALL.horizon)
+    meta = ModelMeta("load-linear", "linear", SMALL.features, SMALL.horizon)
     scaler = SeriesScaler(scale_columns(train)).fit(train)
     model = fit_linear(train, SMALL.features, SMALL.horizon)
     assert [register(root, model, meta, scaler, spark) for _ in range(2)] == ["1", "2"]
@@ -272,7 +272,7 @@ def test_models_come_back_with_scaler_and_feature_order(spark, tmp_path, prepare
     assert stats(loaded.scaler) == stats(scaler)
 
     trees = fit_trees(train, "gbt", SMALL.features, 2, maxIter=2, maxDepth=2)
-    tree_meta = ModelMeta("gbt", "load-gbt", SMALL.features, "value", 2, None, {"maxIter": 2, "maxDepth": 2})
+    tree_meta = ModelMeta("load-gbt", "gbt", SMALL.features, 2, hyperparameters={"maxIter": 2, "maxDepth": 2})
     assert register(root, trees, tree_meta, spark=spark) == "1"
     again = load_registered(root, "load-gbt", "1", spark)
     assert again.meta == tree_meta and again.scaler is None
