@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from evenstep.errors import NaiveModelError
 from evenstep.functions.stamps import floor_to, stamp_micros, step_micros
-from evenstep.operators.blocks import BLOCK, MICROS, block_steps
+from evenstep.operators.blocks import BLOCK, MICROS, block_steps, spread
 from evenstep.schema import SERIES, TS, VALUE, YHAT, require_panel
 
 
@@ -54,7 +54,7 @@ def seasonal_naive(
     held = series.select(SERIES, micros.alias(MICROS), F.col(VALUE).alias("_read")).select(
         SERIES, MICROS, F.explode(readers).alias(BLOCK), F.lit(False).alias("_asked"), "_read"
     )
-    stacked = asked.unionByName(held, allowMissingColumns=True).repartition(SERIES, BLOCK)
+    stacked = spread(asked.unionByName(held, allowMissingColumns=True), SERIES, BLOCK)
     # Only stamps a whole number of steps apart can answer each other, hence the remainder in the key.
     phase = F.pmod(F.col(MICROS), F.lit(step))
     spec = Window.partitionBy(SERIES, BLOCK, phase).orderBy(MICROS)

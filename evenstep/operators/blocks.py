@@ -48,7 +48,16 @@ def to_blocks(
         first, last = floor_to(micros - ahead * step, width), floor_to(micros + back * step, width)
         copied = framed.withColumn(BLOCK, F.explode(F.sequence(first, last)))
         blocked = copied.withColumn(HOME, F.col(BLOCK) == home)
-    return blocked.repartition(*keys_of(frame), BLOCK)
+    return spread(blocked, *keys_of(frame), BLOCK)
+
+
+def spread(frame: DataFrame, *columns: str) -> DataFrame:
+    """Hash rows over as many tasks as the session shuffles into.
+
+    The count is explicit because windows cost far more per byte than the size-based merging of small
+    partitions assumes; merged by bytes, a million rows would end up in a task or two.
+    """
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
 def in_block(frame: DataFrame) -> WindowSpec:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from evenstep.errors import FeatureError
 from evenstep.functions.stamps import shift_stamp, stamp_micros, step_micros
+from evenstep.operators.blocks import spread
 from evenstep.schema import FRAME_START, TS, VALUE, keys_of, require_panel, require_unique_stamps
 
 #: Grid stamps written out per row of the block table.
@@ -18,8 +19,7 @@ def grid_stamps(frame: DataFrame, step: str | timedelta, steps_per_block: int =
     """Every stamp from the first to the last of each slice, one step apart.
 
     A long span is first cut into blocks and those are spread over the tasks, so no task writes out a
-    whole series. The partition count is explicit because the block table is tiny: sized by its bytes it
-    would be merged into a single task, which would then write out every stamp.
+    whole series.
     """
     step, keys = step_micros(step), keys_of(frame)
     last_step = F.call_function("div", stamp_micros("_last") - stamp_micros(FRAME_START), F.lit(step))
@@ -30,11 +30,10 @@ def grid_stamps(frame: DataFrame, step: str | timedelta, steps_per_block: int =
     )
     last_block = F.call_function("div", F.col("_steps"), F.lit(steps_per_block))
     blocks = span.select(*keys, FRAME_START, "_steps", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)).alias("_part"))
-    tasks = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = F.col("_part") * steps_per_block
     numbered = F.sequence(first, F.least(first + (steps_per_block - 1), F.col("_steps")))
     return (
-        blocks.repartition(tasks, *keys, "_part")
+        spread(blocks, *keys, "_part")
         .select(*keys, FRAME_START, F.explode(numbered).alias("_step"))
         .select(*keys, shift_stamp(FRAME_START, F.col("_step") * step).alias(TS))
     )

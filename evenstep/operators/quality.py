@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from evenstep.errors import DataValidationError
 from evenstep.functions.stamps import floor_to, stamp_micros, step_micros
 from evenstep.schema import SERIES, TS, VALUE, require_panel
+from evenstep.sources.storage import settle
 
 _SHOWN = 20
 
@@ -101,7 +102,7 @@ def validate(series: DataFrame, **limits) -> DataFrame:
 
     Only a count and the first few faulty series come to the driver, however many there are.
     """
-    report = validation_report(series, **limits)
+    report = settle(validation_report(series, **limits))
     faulty = report.where(F.size("problems") > 0)
     shown = faulty.orderBy(SERIES).limit(_SHOWN).collect()
     if shown:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evenstep.errors import SequenceError, SplitError
 from evenstep.functions.stamps import step_micros
 from evenstep.operators.blocks import TOTALS_BLOCK, stamps_at
-from evenstep.schema import FRAME_START, SERIES, SPLIT, TARGET_TS, TS, keys_of, require_panel
+from evenstep.schema import FRAME_START, SERIES, SPLIT, TARGET_TS, TS, keys_of, require_keys, require_panel
 from evenstep.sources.storage import settle
 
 SPLITS = ("train", "validation", "test")
@@ -66,6 +66,8 @@ def chronological_split(
     then follows from their measured size. The series is read three times; pass a stored one. ``step`` only
     sizes the blocks that locate the cuts.
     """
+    if check:
+        require_keys(series, SplitError)
     bounds = settle(split_bounds(series, train, validation, test, step, steps_per_block))
     if check:
         n = F.col("n")

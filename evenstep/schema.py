@@ -37,8 +37,18 @@ def require_panel(frame: DataFrame, error: type[Exception], target: str = VALUE)
         raise error(f"column {TS!r} is {stamp.simpleString()}, not timestamp_ntz; use observations() first")
 
 
+def require_keys(frame: DataFrame, error: type[Exception]) -> None:
+    """One small action, pushed down to the files: refuse rows without a series or a stamp.
+
+    They belong to no slice, so a join or a block would lose them without a word.
+    """
+    if frame.where(F.col(SERIES).isNull() | F.col(TS).isNull()).select(F.lit(1)).limit(1).collect():
+        raise error("a row lacks its series or its stamp; name every series, and run clean() first")
+
+
 def require_unique_stamps(frame: DataFrame, error: type[Exception]) -> None:
-    """One small action: refuse a frame in which a stamp occurs twice within a slice."""
+    """Small actions: refuse rows without a key, and a frame in which a stamp occurs twice within a slice."""
+    require_keys(frame, error)
     keys = keys_of(frame)
     repeated = frame.groupBy(*keys, TS).count().where(F.col("count") > 1).limit(1).collect()
     if repeated:

@@ -63,3 +63,30 @@ def test_tail_holdout_takes_the_last_windows(ramp):
     assert got.where("part = 'fit'").count() == 22
     with pytest.raises(SequenceError, match="empty side"):
         tail_holdout(windows, 0.0)
+
+
+@pytest.mark.parametrize("lacking", ["series_id", "ts"])
+def test_rows_without_a_key_are_refused_not_lost(spark, ramp, lacking):
+    kind = {"series_id": "string", "ts": "timestamp_ntz"}[lacking]
+    keyless = ramp(1).selectExpr(*[f"cast(null as {kind}) {c}" if c == lacking else c for c in ("series_id", "ts", "value")])
+    with pytest.raises(SplitError, match="lacks its series or its stamp"):
+        chronological_split(ramp(20).unionByName(keyless))
+
+
+def test_a_series_with_most_rows_is_spread_over_tasks(spark, ramp):
+    """A join on the series must not leave the hot series hashed by series alone when windows follow."""
+    from pyspark.sql import functions as F
+
+    from evenstep.operators.blocks import to_blocks
+
+    panel = ramp(3000, series="hot").unionByName(ramp(100, series="a")).unionByName(ramp(100, series="b"))
+    divided = chronological_split(panel)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        blocked = to_blocks(divided, 3_600_000_000, 24, 24, steps_per_block=100)
+        home = blocked.where("_home")
+        tasks = home.where("series_id = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
+        assert home.count() == 3200 and tasks == 8
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
