@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from evenstep.errors import NaiveModelError
 from evenstep.functions.stamps import floor_to, stamp_micros, step_micros
 from evenstep.operators.blocks import BLOCK, MICROS, block_steps, spread
-from evenstep.schema import SERIES, TS, VALUE, YHAT, require_panel
+from evenstep.schema import SERIES, TS, VALUE, YHAT, require_panel, require_unique_stamps
 
 
 def require_season(season: int, horizon: int) -> None:
@@ -32,7 +32,7 @@ def seasonal_naive(
 
     ``series`` is the whole series, unsplit and unscaled; the lookup crosses splits, never into the
     future. It is exact in time, so a missing stamp leaves a row unanswered. With ``check`` such rows are
-    counted and refused, otherwise their ``yhat`` is null.
+    counted and refused, as are repeated stamps in ``series``; otherwise their ``yhat`` is null.
 
     Scored rows and series rows are stacked and read through one window. Each series row is sent to the
     block of the rows that will read it, one season on, so this is a single shuffle without a join.
@@ -40,6 +40,8 @@ def seasonal_naive(
     require_season(season, horizon)
     require_panel(scored, NaiveModelError, target=TS)
     require_panel(series, NaiveModelError)
+    if check:
+        require_unique_stamps(series, NaiveModelError)
     step = step_micros(step)
     width = step * (steps_per_block or block_steps(season))
     micros = stamp_micros(TS)

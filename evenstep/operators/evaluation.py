@@ -16,12 +16,13 @@ def _squared_errors(y: str, yhat: str) -> Column:
 def rmse(frame: DataFrame, by: Sequence[str] = (), y: str = Y, yhat: str = YHAT) -> DataFrame:
     """Root mean squared error over all rows and steps, per group of ``by`` or over everything.
 
-    Each row adds up its own steps, so arrays are never exploded.
+    Each row adds up its own steps, so arrays are never exploded. Rows left without a forecast are not
+    scored, and ``n`` does not count them.
     """
     row_error = F.aggregate(_squared_errors(y, yhat), F.lit(0.0), lambda total, e: total + e)
     return (
         frame.groupBy(*by)
-        .agg(F.sum(row_error).alias("_sse"), F.sum(F.size(y)).alias("n"))
+        .agg(F.sum(row_error).alias("_sse"), F.sum(F.when(row_error.isNotNull(), F.size(y))).alias("n"))
         .select(*by, "n", F.sqrt(F.col("_sse") / F.col("n")).alias("rmse"))
     )
 
@@ -34,7 +35,7 @@ def rmse_by_step(
         gap = F.element_at(yhat, h) - F.element_at(y, h)
         return F.sum(gap * gap)
 
-    sums = frame.groupBy(*by).agg(F.array(*[error(h) for h in range(1, horizon + 1)]).alias("_sse"), F.count("*").alias("n"))
+    sums = frame.groupBy(*by).agg(F.array(*[error(h) for h in range(1, horizon + 1)]).alias("_sse"), F.count(yhat).alias("n"))
     return sums.select(*by, "n", F.posexplode("_sse").alias("_pos", "_sum")).select(
         *by,
         (F.col("_pos") + 1).cast("int").alias("step"),

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evenstep.functions.calendar import calendar_features, holiday_dates
 from evenstep.models.linear import fit_linear
-from evenstep.models.naive import seasonal_naive
 from evenstep.models.trees import fit_preset
 from evenstep.operators.cleaning import clean, clean_audit, duplicate_stamps
 from evenstep.operators.evaluation import rmse, rmse_by_step
@@ -16,7 +15,7 @@ from evenstep.operators.grid import complete_grid, missing_stamps
 from evenstep.operators.lags import feature_audit, lag_disagreement, lag_features, lag_names
 from evenstep.operators.quality import arrival_disorder, validation_report
 from evenstep.operators.scaling import SeriesScaler, scale_columns, split_drift
-from evenstep.operators.splitting import chronological_split, reassemble, split_summary, tail_holdout
+from evenstep.operators.splitting import reassemble, split_summary, tail_holdout
 from evenstep.operators.targets import horizon_targets
 from evenstep.operators.windows import dataset_sizes, gap_segments, segment_lengths, sequence_windows, window_manifest
 from evenstep.plans.fixtures import (

@@ -193,10 +193,11 @@ def test_trees_are_repeatable_and_refuse_unknown_names(prepared_rows):
 
 def test_scores(spark):
     rows = spark.createDataFrame(
-        [("a", [1.0, 2.0], [1.0, 4.0]), ("a", [0.0, 0.0], [2.0, 0.0])],
+        [("a", [1.0, 2.0], [1.0, 4.0]), ("a", [0.0, 0.0], [2.0, 0.0]), ("a", [5.0, 5.0], None)],
         "series_id string, y array<double>, yhat array<double>",
     )
-    assert rmse(rows).first().rmse == pytest.approx(math.sqrt(8 / 4))
+    assert (rmse(rows).first().n, rmse(rows).first().rmse) == (4, pytest.approx(math.sqrt(8 / 4)))
+    assert {r.n for r in rmse_by_step(rows, 2).collect()} == {2}
     assert {r.step: r.rmse for r in rmse_by_step(rows, 2, ["series_id"]).collect()} == {
         1: pytest.approx(math.sqrt(2)), 2: pytest.approx(math.sqrt(2)),
     }
