@@ -20,8 +20,12 @@ TOTALS_BLOCK = 16_384
 
 
 def block_steps(reach: int) -> int:
-    """Steps per block for a total look-back plus look-ahead; copies stay below about one row in sixteen."""
-    return max(4_096, 16 * reach)
+    """Steps per block for a total look-back plus look-ahead.
+
+    A short reach leaves block and halo within the 4,096 rows a window buffers in memory by default; a long
+    one gets blocks so much longer that at most about one row in sixteen is copied.
+    """
+    return max(4_000 - reach, 16 * reach)
 
 
 def to_blocks(
