@@ -4,26 +4,51 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: This library's own setting; may be set at run time, unlike the cluster's.
+STORAGE = "spark.evenstep.storage"
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. A local session without one gets a temporary folder.
+    """Where tables between steps go: ``spark.evenstep.storage``, else the cluster's checkpoint folder.
 
-    On a cluster there is no default: a machine-local folder would vanish with its executor.
+    A folder that was named is trusted to be shared, whatever its scheme (a mounted share is a ``file:`` path).
+    Where neither is named, a local session gets a temporary folder, kept in the session's own setting; a
+    cluster has no default, since a machine-local folder would vanish with its executor.
     """
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="evenstep-")
-        spark.conf.set(CHECKPOINT_DIR, folder)
+    folder = spark.conf.get(STORAGE, None) or spark.conf.get(CHECKPOINT_DIR, None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set {STORAGE} or {CHECKPOINT_DIR} to a folder that every executor can reach")
+    folder = tempfile.mkdtemp(prefix="evenstep-")
+    spark.conf.set(STORAGE, folder)
     return folder
 
 
+@contextmanager
+def run_storage(spark: SparkSession) -> Iterator[str]:
+    """A folder for one run: every table settled inside the block is deleted when the block ends.
+
+    Frames that read such tables must be written or counted before the end.
+    """
+    before = spark.conf.get(STORAGE, None)
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    spark.conf.set(STORAGE, folder)
+    try:
+        yield folder
+    finally:
+        spark.conf.unset(STORAGE) if before is None else spark.conf.set(STORAGE, before)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once and go on from the files.
 
