@@ -35,12 +35,16 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``data[starts[i]:ends[i]]``, equal for equal bytes, from one running sum."""
+def hasher(data: np.ndarray):
+    """``hash(starts, ends)``: 64-bit hashes of ``data[starts[i]:ends[i]]``, equal for equal bytes, from one running sum."""
     up, down = _powers_to(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_VALUES[data] * up[:-1], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts])
+    return lambda starts, ends: mixed((sums[ends] - sums[starts]) * down[starts])
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return hasher(data)(starts, ends)
 
 
 def shingles_at(text: bytes | None, width: int = 5) -> np.ndarray:

@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evenstep.llm import quality_classifier, toxicity
 from evenstep.llm.language_id import held_out_identification
 from evenstep.llm.quality_rules import judge, judged_sql
+from evenstep.sources.storage import settle
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_scores(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_documents(spark, sf_dir))
 
@@ -22,9 +32,16 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_identification(_documents(spark, sf_dir))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = settle(quality_classifier.with_measures(_documents(spark, sf_dir)))
+    return quality_classifier.held_out_scores(measured, _labels(spark, sf_dir))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op6_language_id": op6_language_id,
+    "op8_quality_classifier": op8_quality_classifier,
 }
 
 LLM_ORACLES: dict[str, str] = {
