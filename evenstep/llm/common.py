@@ -149,15 +149,23 @@ def remainder(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % modulus
 
 
+#: More strata than this are refused by bounded_sample, which sends their counts to every task.
+MAX_STRATA = 10_000
+
+
 def bounded_sample(rows: DataFrame, stratum: str, order: str, size: int) -> DataFrame:
     """At most ``size`` rows of each value of ``stratum``, those with the smallest hash of ``order``.
 
-    A first cut at a hash threshold from each stratum's count leaves about twice ``size`` rows of it, so that
-    the exact cut sees bounded groups however large a stratum is.
+    A first cut at a hash threshold from each stratum's count leaves about twice ``size`` rows of it where the
+    rows are read, so that the exact cut sees bounded groups however large a stratum is.
     """
     place = F.pmod(F.xxhash64(order), F.lit(1 << 40)) / float(1 << 40)
-    rows = rows.withColumn("_place", place)
-    counts = rows.groupBy(F.col(stratum).alias("_of")).agg(F.count(F.lit(1)).alias("_rows"))
-    near = rows.join(counts, F.col(stratum) == F.col("_of")).where(F.col("_place") * F.col("_rows") <= 2 * size + 50)
+    counted = rows.groupBy(F.col(stratum).alias("_of")).agg(F.count(F.lit(1)).alias("_rows")).limit(MAX_STRATA + 1)
+    counts = counted.collect()
+    if len(counts) > MAX_STRATA:
+        raise ValueError(f"{stratum} has more than {MAX_STRATA} values")
+    bounds = rows.sparkSession.createDataFrame(counts, counted.schema)
+    near = rows.withColumn("_place", place).join(F.broadcast(bounds), F.col(stratum) == F.col("_of"))
+    near = near.where(F.col("_place") * F.col("_rows") <= 2 * size + 50)
     rank = F.expr(f"row_number() over (partition by {stratum} order by _place, {order})")
     return near.withColumn("_rank", rank).where(F.col("_rank") <= size).drop("_place", "_of", "_rows", "_rank")

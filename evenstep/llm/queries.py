@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from evenstep.llm import quality_classifier, toxicity
 from evenstep.llm.language_id import held_out_identification
+from evenstep.llm.packing import packed_documents
 from evenstep.llm.quality_rules import judge, judged_sql
 from evenstep.sources.storage import settle
 
@@ -32,6 +34,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_identification(_documents(spark, sf_dir))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = settle(quality_classifier.with_measures(_documents(spark, sf_dir)))
     return quality_classifier.held_out_scores(measured, _labels(spark, sf_dir))
@@ -41,6 +47,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op6_language_id": op6_language_id,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_classifier": op8_quality_classifier,
 }
 
