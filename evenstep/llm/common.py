@@ -76,6 +76,7 @@ def schema_of(ddl: str) -> pa.Schema:
         "boolean": pa.bool_(),
         "string": pa.string(),
         "binary": pa.binary(),
+        "array<int>": pa.list_(pa.int32()),
         "array<long>": pa.list_(pa.int64()),
         "array<float>": pa.list_(pa.float32()),
     }

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from evenstep.llm import quality_classifier, toxicity
+from evenstep.llm.byte_bpe import decode, digests, encode
 from evenstep.llm.language_id import held_out_identification
 from evenstep.llm.packing import packed_documents
 from evenstep.llm.quality_rules import judge, judged_sql
@@ -22,6 +23,11 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return digests(decode(encode(_documents(spark, sf_dir), path, public_tokenizers.PATTERN), path))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_scores(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
@@ -44,6 +50,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_byte_bpe": op2_byte_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op6_language_id": op6_language_id,
