@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from evenstep.llm import quality_classifier, toxicity
 from evenstep.llm.byte_bpe import decode, digests, encode
 from evenstep.llm.language_id import held_out_identification
+from evenstep.llm.nearest import nearest
 from evenstep.llm.packing import packed_documents
 from evenstep.llm.quality_rules import judge, judged_sql
+from evenstep.llm.url_filters import JUDGED_PAGES_SQL, judged_pages
 from evenstep.sources.storage import settle
 
 
@@ -49,6 +51,14 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.held_out_scores(measured, _labels(spark, sf_dir))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_toxicity": op3_toxicity,
@@ -56,8 +66,11 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_url_filters": op9_url_filters,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 LLM_ORACLES: dict[str, str] = {
     "op4_quality_rules": judged_sql(),
+    "op9_url_filters": JUDGED_PAGES_SQL,
 }
