@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from evenstep.llm import quality_classifier, toxicity
 from evenstep.llm.byte_bpe import decode, digests, encode
 from evenstep.llm.language_id import held_out_identification
+from evenstep.llm.near_dedup import near_duplicates
 from evenstep.llm.nearest import nearest
 from evenstep.llm.packing import packed_documents
 from evenstep.llm.quality_rules import judge, judged_sql
@@ -25,6 +26,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return digests(decode(encode(_documents(spark, sf_dir), path, public_tokenizers.PATTERN), path))
@@ -60,6 +65,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
