@@ -29,9 +29,9 @@ from evenstep.llm.pretokens import pretokens
 BLOCK = "block long, doc_ids array<long>, sizes array<long>, packed binary"
 WORDS = "part int, block long, packed binary"
 #: Bytes of text in a block, unless a single document has more.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 #: Words whose ids a task keeps at hand; beyond that it forgets them and may encode a word again.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 
 
 @cache

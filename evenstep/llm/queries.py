@@ -14,6 +14,7 @@ from evenstep.llm.near_dedup import near_duplicates
 from evenstep.llm.nearest import nearest
 from evenstep.llm.packing import packed_documents
 from evenstep.llm.quality_rules import judge, judged_sql
+from evenstep.llm.substring_dedup import repeated_passages
 from evenstep.llm.url_filters import JUDGED_PAGES_SQL, judged_pages
 from evenstep.sources.storage import settle
 
@@ -43,6 +44,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_documents(spark, sf_dir))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_documents(spark, sf_dir)).drop("uid")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_identification(_documents(spark, sf_dir))
 
@@ -69,6 +74,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_classifier": op8_quality_classifier,
