@@ -228,3 +228,12 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         return {"_id": batch.column("doc_id"), **out}
 
     return per_batch(chosen, rows, "_id long, _high long, _low long, shingles binary").dropDuplicates(["_id", "_high", "_low"])
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` but those of documents that are linked to one with a smaller ``doc_id``; unchanged.
+
+    Rows that share a ``doc_id`` stay or go together; rows without one stay.
+    """
+    dropped = near_duplicates(docs).where("doc_id is not null and not kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")

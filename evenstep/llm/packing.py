@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,22 +31,29 @@ BIN = "fill int, uids array<long>, lengths array<long>"
 class WordEncoder:
     """Ids of a text by a byte-level tokenizer file, with the ids of recent words kept.
 
-    Words of such a tokenizer are encoded independently of each other. The store of words is emptied when it
-    holds ``kept`` of them, so a task's memory is bounded.
+    Words of such a tokenizer are encoded independently of each other. Words are kept in two generations of at
+    most ``kept``; when the younger is full it becomes the older, and what was used of the old one has moved on.
     """
 
-    def __init__(self, path: str, kept: int = 400_000) -> None:
+    def __init__(self, path: str, kept: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.kept = kept
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # Texts of added tokens are single ids wherever they stand.
         self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
 
     def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > self.kept:
-            self.words, new = {}, list(words)
+        missing = [w for w in words if w not in self.words]
+        if len(self.words) + len(missing) > self.kept:
+            self.older, self.words, missing = self.words, {}, list(words)
+        new = []
+        for word in missing:
+            if word in self.older:
+                self.words[word] = self.older[word]
+            else:
+                new.append(word)
         for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             self.words[word] = np.array(found.ids, "<u4").tobytes()
 
@@ -63,6 +71,12 @@ class WordEncoder:
             return b"".join([self.words[w] for w in words])
 
 
+@cache
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker process, so that a word is learned once in it."""
+    return WordEncoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH) -> DataFrame:
     """Each document's ids and ``end_id``, cut into pieces of ``length`` of which only the first may be shorter.
 
@@ -71,7 +85,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGT
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, schema = WordEncoder(tokenizer), schema_of(PIECE)
+        encoder, schema = word_encoder(tokenizer), schema_of(PIECE)
         last = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []

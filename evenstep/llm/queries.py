@@ -16,7 +16,6 @@ from evenstep.llm.packing import packed_documents
 from evenstep.llm.quality_rules import judge, judged_sql
 from evenstep.llm.substring_dedup import repeated_passages
 from evenstep.llm.url_filters import JUDGED_PAGES_SQL, judged_pages
-from evenstep.sources.storage import settle
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +56,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = settle(quality_classifier.with_measures(_documents(spark, sf_dir)))
-    return quality_classifier.held_out_scores(measured, _labels(spark, sf_dir))
+    return quality_classifier.held_out_scores(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
