@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evenstep.errors import FeatureError
 from evenstep.functions.stamps import floor_to, stamp_micros, step_micros
-from evenstep.schema import FRAME_START, SERIES, TS, keys_of, require_panel
+from evenstep.schema import FRAME_START, SERIES, TS, join_on, keys_of, require_panel
 from evenstep.sources.storage import settle
 
 # Fixed values: (column, values in one turn, first value).
@@ -78,7 +78,7 @@ def with_frame_start(frame: DataFrame) -> DataFrame:
         return frame
     keys = keys_of(frame)
     starts = settle(frame.groupBy(*keys).agg(F.min(TS).alias(FRAME_START)))
-    return frame.join(starts, keys, "left")
+    return join_on(frame, starts, keys, "left")
 
 
 def calendar_columns(holidays: bool = True) -> list[tuple[str, Column]]:

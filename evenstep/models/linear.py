@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evenstep.errors import ForecastError
-from evenstep.schema import SERIES, Y, YHAT, feature_columns
+from evenstep.schema import SERIES, Y, YHAT, feature_columns, join_on
 from evenstep.sources.storage import settle
 
 _SALTS = 64
@@ -47,7 +47,7 @@ class LinearForecaster:
         flat = self.coefficients.select(
             SERIES, F.col("intercept").alias("_intercept"), F.flatten("weights").alias("_weights")
         )
-        return frame.join(flat, SERIES, "left").withColumn(YHAT, F.array(*steps)).drop("_intercept", "_weights")
+        return join_on(frame, flat, [SERIES], "left").withColumn(YHAT, F.array(*steps)).drop("_intercept", "_weights")
 
 
 def fit_linear(train: DataFrame, features: Sequence[str] | None = None, horizon: int = 24) -> LinearForecaster:
@@ -75,13 +75,13 @@ def fit_linear(train: DataFrame, features: Sequence[str] | None = None, horizon:
         f"CASE WHEN x_std[{i}] > 0 THEN (`{c}` - x_mean[{i}]) / x_std[{i}] ELSE 0D END AS x{i}" for i, c in enumerate(names)
     ]
     centred = [f"{Y}[{h}] - y_mean[{h}] AS y{h}" for h in range(horizon)]
-    rows = train.join(moments, SERIES).selectExpr(SERIES, *standard, *centred)
+    rows = join_on(train, moments, [SERIES]).selectExpr(SERIES, *standard, *centred)
 
     sums = f"{SERIES} string, n bigint, xx array<double>, xy array<double>"
     partial = rows.mapInPandas(lambda batches: _cross_products(batches, p), sums)
     salted = partial.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(_SALTS)))
     halfway = salted.groupBy(SERIES, "_salt").applyInPandas(_add_up, sums)
-    solved = halfway.join(moments, SERIES).groupBy(SERIES).applyInPandas(
+    solved = join_on(halfway, moments, [SERIES]).groupBy(SERIES).applyInPandas(
         lambda group: _solve(group, p, horizon),
         f"{SERIES} string, intercept array<double>, weights array<array<double>>",
     )
@@ -92,7 +92,8 @@ def _cross_products(batches: Iterator[pd.DataFrame], p: int) -> Iterator[pd.Data
     held: dict[str, list] = {}
     for batch in batches:
         matrix = batch.iloc[:, 1:].to_numpy(dtype=float)
-        for series, rows in batch.groupby(SERIES, sort=False).indices.items():
+        for series, rows in batch.groupby(SERIES, sort=False, dropna=False).indices.items():
+            series = None if pd.isna(series) else series
             block = matrix[rows]
             product = block[:, :p].T @ block
             if series in held:

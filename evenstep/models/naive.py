@@ -70,5 +70,5 @@ def seasonal_naive(
     if check:
         unanswered = out.agg(F.count_if(F.col(YHAT).isNull())).first()[0]
         if unanswered:
-            raise NaiveModelError(f"{unanswered} row(s) have no reading one season back in the given series")
+            raise NaiveModelError(f"{unanswered} rows ask for a stamp of last season that the series does not hold")
     return out

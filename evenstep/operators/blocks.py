@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from evenstep.functions.stamps import floor_to, stamp_micros
-from evenstep.schema import FRAME_START, TS, keys_of
+from evenstep.schema import FRAME_START, TS, join_on, keys_of
+from evenstep.sources.storage import settle
 
 MICROS, BLOCK, HOME, GRIDDED = "_micros", "_block", "_home", "_gridded"
 
@@ -110,7 +111,8 @@ def stamps_at(
         .where((F.col("at") >= F.col("_before")) & (F.col("at") < F.col("_before") + F.col("_rows")))
         .select(*keys, BLOCK, "n", "name", (F.col("at") - F.col("_before")).alias("_offset"))
     )
-    ranked = keyed.join(cuts, [*keys, BLOCK]).withColumn(
+    # The cuts are a row per group and position. Stored, their size is known, so that they are the side to send.
+    ranked = join_on(keyed, settle(cuts), [*keys, BLOCK]).withColumn(
         "_rank", F.row_number().over(Window.partitionBy(*keys, BLOCK, "name").orderBy("_stamp")) - 1
     )
     return (

@@ -16,14 +16,14 @@ def _squared_errors(y: str, yhat: str) -> Column:
 def rmse(frame: DataFrame, by: Sequence[str] = (), y: str = Y, yhat: str = YHAT) -> DataFrame:
     """Root mean squared error over all rows and steps, per group of ``by`` or over everything.
 
-    Each row adds up its own steps, so arrays are never exploded. Rows left without a forecast are not
-    scored, and ``n`` does not count them.
+    Each row adds up its own steps, so arrays are never exploded. Rows left without a forecast cannot be
+    scored; ``n`` counts the steps that were, ``unscored`` the rows that were not.
     """
     row_error = F.aggregate(_squared_errors(y, yhat), F.lit(0.0), lambda total, e: total + e)
     return (
         frame.groupBy(*by)
-        .agg(F.sum(row_error).alias("_sse"), F.sum(F.when(row_error.isNotNull(), F.size(y))).alias("n"))
-        .select(*by, "n", F.sqrt(F.col("_sse") / F.col("n")).alias("rmse"))
+        .agg(F.sum(row_error).alias("_sse"), F.sum(F.when(row_error.isNotNull(), F.size(y))).alias("n"), F.count_if(row_error.isNull()).alias("unscored"))
+        .select(*by, "n", "unscored", F.sqrt(F.col("_sse") / F.col("n")).alias("rmse"))
     )
 
 

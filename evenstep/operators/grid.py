@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from evenstep.errors import FeatureError
 from evenstep.functions.stamps import shift_stamp, stamp_micros, step_micros
 from evenstep.operators.blocks import spread
-from evenstep.schema import FRAME_START, TS, VALUE, keys_of, require_panel, require_unique_stamps
+from evenstep.schema import FRAME_START, TS, VALUE, join_on, keys_of, require_panel, require_unique_stamps
 
 #: Grid stamps written out per row of the block table.
 GRID_BLOCK = 65_536
@@ -45,11 +45,11 @@ def complete_grid(frame: DataFrame, step: str | timedelta = "h", check: bool = T
     if check:
         require_unique_stamps(frame, FeatureError)
     keys = keys_of(frame)
-    return grid_stamps(frame, step).join(frame.select(*keys, TS, VALUE), [*keys, TS], "left")
+    return join_on(grid_stamps(frame, step), frame.select(*keys, TS, VALUE), [*keys, TS], "left")
 
 
 def missing_stamps(frame: DataFrame, step: str | timedelta = "h") -> DataFrame:
     """Grid stamps that do not occur in the series."""
     require_panel(frame, FeatureError, target=TS)
     keys = keys_of(frame)
-    return grid_stamps(frame, step).join(frame.select(*keys, TS), [*keys, TS], "left_anti")
+    return join_on(grid_stamps(frame, step), frame.select(*keys, TS), [*keys, TS], "left_anti")

@@ -1,4 +1,4 @@
-"""Lag and trailing features measured in elapsed time, not in rows."""
+"""What a series read some stretch of time ago, and the mean and spread over a stretch before each row."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from evenstep.errors import FeatureError
 from evenstep.functions.calendar import with_frame_start
 from evenstep.functions.stamps import step_micros
 from evenstep.operators.blocks import BLOCK, GRIDDED, home_rows, in_block, steps_between, to_blocks
-from evenstep.schema import FRAME_START, VALUE, all_of, keys_of, require_panel, require_unique_stamps
+from evenstep.schema import FRAME_START, VALUE, all_of, join_on, keys_of, require_panel, require_unique_stamps
 
 
 #: Longest trailing window that is recomputed for every row; longer ones are put together from parts.
@@ -187,7 +187,7 @@ def number_rows(frame: DataFrame, step: int, steps_per_block: int | None = None)
     offsets = counted.select(*keys, BLOCK, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     inside = F.row_number().over(in_block(blocked)) - 1
     return home_rows(
-        blocked.join(offsets, [*keys, BLOCK]).withColumn("_row", F.col("_before") + inside).drop("_before")
+        join_on(blocked, offsets, [*keys, BLOCK]).withColumn("_row", F.col("_before") + inside).drop("_before")
     )
 
 

@@ -7,8 +7,8 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evenstep.errors import DataValidationError
-from evenstep.functions.stamps import floor_to, stamp_micros, step_micros
-from evenstep.schema import SERIES, TS, VALUE, require_panel
+from evenstep.functions.stamps import stamp_micros, step_micros
+from evenstep.schema import SERIES, TS, VALUE, join_on, require_panel
 from evenstep.sources.storage import settle
 
 _SHOWN = 20
@@ -26,9 +26,12 @@ def validation_report(
     allow_missing_index: float = 0.01,
     step: str | timedelta = "h",
     target: str = VALUE,
+    arrival: list[str] | None = None,
 ) -> DataFrame:
     """``[series_id, rows, missing_target_ratio, missing_index_ratio, problems]``, every rule in one pass.
 
+    With ``arrival``, the columns that tell the order of arrival, late rows are a problem too.
+
     Hours absent from the grid are counted in closed form, as grid length less the stamps on the grid, so
     no grid is written out. Stamps are on the grid when they share their remainder modulo the step with
     the first stamp; counting per remainder first lets one aggregation serve both.
@@ -69,7 +72,7 @@ def validation_report(
     ).withColumns(
         {
             "missing_target_ratio": F.col("_missing") / F.col("rows"),
-            # A gap count means nothing while stamps repeat.
+            # The closed form takes each stamp for one grid step.
             "_gaps": F.when((F.col("rows") > 1) & (F.col("_repeats") == 0), F.col("_grid") - F.col("_on_grid")).otherwise(0),
         }
     ).withColumn("missing_index_ratio", F.col("_gaps") / F.col("_grid"))
@@ -91,6 +94,10 @@ def validation_report(
             ),
         ),
     )
+    if arrival:
+        counted = join_on(counted, arrival_disorder(series, arrival).select(SERIES, "late_rows"), [SERIES], "left")
+        late = F.when(F.col("late_rows") > 0, F.concat(F.col("late_rows"), F.lit(" rows arrived after a later stamp")))
+        rules = F.concat(rules, F.array(late))
     return counted.select(
         SERIES, "rows", "missing_target_ratio", "missing_index_ratio",
         F.filter(rules, lambda rule: rule.isNotNull()).alias("problems"),
@@ -100,9 +107,12 @@ def validation_report(
 def validate(series: DataFrame, **limits) -> DataFrame:
     """The report, after refusing series with problems; takes the arguments of ``validation_report``.
 
-    Only a count and the first few faulty series come to the driver, however many there are.
+    Only a count and the first few faulty series come to the driver, however many there are. A frame without a
+    stamped row has no series to report on and is refused as too short.
     """
     report = settle(validation_report(series, **limits))
+    if report.isEmpty():
+        raise DataValidationError(f"fewer than {limits.get('min_rows', 1000)} rows: 0")
     faulty = report.where(F.size("problems") > 0)
     shown = faulty.orderBy(SERIES).limit(_SHOWN).collect()
     if shown:
@@ -117,26 +127,36 @@ def late_arrivals(raw: DataFrame, order: list[str], rows_per_chunk: int = 65_536
     """Every row with ``late``: whether its stamp lies before one that arrived earlier in its series.
 
     ``order`` names the arrival order, its first column being a whole number; rows that tie in it arrived
-    together and are not late against each other. Arrival is cut into chunks
-    of that number's range; the running maximum is taken inside each chunk and over the chunk maxima, so
-    a series with a large share of all rows is never ordered in one task.
+    together and are not late against each other. A row without that number has no place in the order: its
+    ``late`` is null and it makes no other row late. Arrival is cut into chunks of the number's range, as
+    wide as each series needs for about ``rows_per_chunk`` rows in a chunk; the running maximum is taken inside
+    each chunk and over the chunk maxima, so a series with a large share of all rows is never ordered in
+    one task (unless all its rows share one number).
     """
     require_panel(raw, DataValidationError, target=order[0])
-    chunked = raw.withColumn("_chunk", floor_to(F.col(order[0]).cast("bigint"), rows_per_chunk))
-    tops = chunked.groupBy(SERIES, "_chunk").agg(F.max(TS).alias("_top"))
+    number = F.col(order[0]).cast("bigint")
+    extent = raw.groupBy(SERIES).agg(F.min(number).alias("_low"), F.max(number).alias("_high"), F.count(number).alias("_n"))
+    span = (F.col("_high") - F.col("_low") + 1).cast("double")
+    widths = extent.select(SERIES, "_low", F.greatest(F.ceil(span * rows_per_chunk / F.col("_n")), F.lit(1)).alias("_width"))
+    placed = F.call_function("div", number - F.col("_low"), F.col("_width"))
+    chunked = join_on(raw, settle(widths), [SERIES]).withColumn("_chunk", placed).drop("_low", "_width")
+    tops = chunked.where(F.col("_chunk").isNotNull()).groupBy(SERIES, "_chunk").agg(F.max(TS).alias("_top"))
     earlier_chunks = Window.partitionBy(SERIES).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     earlier_rows = Window.partitionBy(SERIES, "_chunk").orderBy(*order, TS).rowsBetween(Window.unboundedPreceding, -1)
     before = tops.select(SERIES, "_chunk", F.max("_top").over(earlier_chunks).alias("_before"))
+    # Rows without a number are answered as they are, so that they do not gather in one window.
+    numbered = join_on(chunked.where(F.col("_chunk").isNotNull()), before, [SERIES, "_chunk"])
     seen = F.greatest(F.col("_before"), F.max(TS).over(earlier_rows))
-    return (
-        chunked.join(before, [SERIES, "_chunk"])
-        .withColumn("late", F.coalesce(F.col(TS) < seen, F.lit(False)))
-        .drop("_chunk", "_before")
-    )
+    judged = numbered.withColumn("late", F.coalesce(F.col(TS) < seen, F.lit(False)))
+    unnumbered = chunked.where(F.col("_chunk").isNull()).withColumn("late", F.lit(None).cast("boolean"))
+    return judged.drop("_chunk", "_before").unionByName(unnumbered.drop("_chunk"))
 
 
 def arrival_disorder(raw: DataFrame, order: list[str], rows_per_chunk: int = 65_536) -> DataFrame:
-    """Per series: rows, and rows that arrived after a later stamp. Zero late rows means sorted ascending."""
+    """Per series: rows, rows that arrived after a later stamp, and rows without an arrival number.
+
+    Zero late rows means sorted ascending.
+    """
     return late_arrivals(raw, order, rows_per_chunk).groupBy(SERIES).agg(
-        F.count("*").alias("rows"), F.count_if("late").alias("late_rows")
+        F.count("*").alias("rows"), F.count_if("late").alias("late_rows"), F.count_if(F.col("late").isNull()).alias("unnumbered_rows")
     )

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evenstep.errors import ScalerError
-from evenstep.schema import SERIES, SPLIT, VALUE, feature_columns
+from evenstep.schema import SERIES, SPLIT, VALUE, feature_columns, join_on
 from evenstep.sources.storage import settle
 
 
 def scale_columns(frame: DataFrame, target: str = VALUE) -> list[str]:
-    """Columns in the units of the target: itself, its lags and its rolling statistics."""
-    return [target] + [c for c in frame.columns if c.startswith(("lag_", "rolling_"))]
+    """Columns of ``frame`` that the target's statistics make sense for: the target, then whatever has its units."""
+    history = re.compile(r"(lag|rolling_mean|rolling_std)_\d+h")
+    return [target, *filter(history.fullmatch, frame.columns)]
 
 
 class SeriesScaler:
@@ -92,7 +94,7 @@ class SeriesScaler:
         """
         absent = sorted(set(self.feature_names) - set(frame.columns))
         if absent:
-            raise ScalerError(f"cannot transform: column(s) {absent} absent")
+            raise ScalerError(f"the frame to scale has no {absent}")
         scaled = {c: (F.col(c) - F.col(_mean(c))) / F.col(_std(c)) for c in self.columns}
         for name in arrays:
             self._require_column(column)
@@ -118,15 +120,15 @@ class SeriesScaler:
         return value * F.col(_std(column)) + F.col(_mean(column))
 
     def _joined(self, frame: DataFrame) -> DataFrame:
-        return frame.join(self._fitted(), SERIES, "left")
+        return join_on(frame, self._fitted(), [SERIES], "left")
 
     def _require_column(self, column: str) -> None:
         if column not in self.feature_names:
-            raise ScalerError(f"column {column!r} was not fitted; fitted: {self.columns}")
+            raise ScalerError(f"no statistics of {column!r}; there are some of {self.columns}")
 
     def _fitted(self) -> DataFrame:
         if self._wide is None:
-            raise ScalerError("the scaler has not been fitted; call fit() on the training split first")
+            raise ScalerError("nothing to scale by: fit() was never called")
         return self._wide
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evenstep.errors import SequenceError, SplitError
 from evenstep.functions.stamps import step_micros
 from evenstep.operators.blocks import TOTALS_BLOCK, stamps_at
-from evenstep.schema import FRAME_START, SERIES, SPLIT, TARGET_TS, TS, keys_of, require_keys, require_panel
+from evenstep.schema import FRAME_START, SERIES, SPLIT, TARGET_TS, TS, join_on, keys_of, require_keys, require_panel
 from evenstep.sources.storage import settle
 
 SPLITS = ("train", "validation", "test")
@@ -85,7 +85,7 @@ def chronological_split(
     for name in SPLITS[1:]:
         start = F.when(F.col(SPLIT) == name, F.col(f"{name}_start")).otherwise(start)
     return (
-        series.join(bounds, SERIES)
+        join_on(series, bounds, [SERIES])
         .withColumn(SPLIT, label)
         .withColumn(FRAME_START, start)
         .drop("n", *[f"{name}_start" for name in SPLITS])
@@ -126,7 +126,7 @@ def tail_holdout(
             raise SequenceError(f"{refused[0]['n']} window(s) leave an empty side at fraction {fraction}")
     held = F.coalesce(F.col(stamp) >= F.col("_cut"), F.lit(False))
     return (
-        windows.join(bounds, keys)
+        join_on(windows, bounds, keys)
         .withColumn("part", F.when(held, "holdout").otherwise("fit"))
         .drop("n", "_cut")
     )

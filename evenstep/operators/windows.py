@@ -23,6 +23,7 @@ from evenstep.schema import (
     TS,
     VALUE,
     feature_columns,
+    join_on,
     keys_of,
     require_no_nulls,
     require_panel,
@@ -53,7 +54,7 @@ def gap_segments(
     offsets = per_block.select(*keys, BLOCK, F.coalesce(F.sum("_breaks").over(earlier), F.lit(0)).alias("_before"))
     so_far = F.sum("_break").over(in_block(marked).rowsBetween(Window.unboundedPreceding, 0))
     return home_rows(
-        marked.join(offsets, [*keys, BLOCK])
+        join_on(marked, offsets, [*keys, BLOCK])
         .withColumn("segment", (F.col("_before") + so_far).cast("bigint"))
         .drop("_before", "_break")
     )
@@ -96,7 +97,7 @@ def _require_windows(frame: DataFrame, sequence_length: int, horizon: int, targe
 
 def _refuse_empty(windows: DataFrame, sequence_length: int, horizon: int) -> None:
     if windows.isEmpty():
-        raise SequenceError(f"no gap-free stretch of {sequence_length} + {horizon} steps exists")
+        raise SequenceError(f"every unbroken run is shorter than {sequence_length} + {horizon} steps")
 
 
 def window_manifest(

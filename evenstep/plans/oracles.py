@@ -189,7 +189,7 @@ ORACLES: dict[str, str] = {
        SELECT g.series_id, g.ts FROM grid g
        WHERE NOT EXISTS (SELECT 1 FROM series s WHERE s.series_id = g.series_id AND s.ts = g.ts)""",
     "arrival_disorder": """
-       SELECT series_id, count(*) AS rows, count(*) FILTER (WHERE l_shipdate < seen) AS late_rows
+       SELECT series_id, count(*) AS rows, count(*) FILTER (WHERE l_shipdate < seen) AS late_rows, 0::BIGINT AS unnumbered_rows
        FROM (SELECT l_suppkey::VARCHAR AS series_id, l_shipdate,
                     max(l_shipdate) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_shipdate
                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM lineitem)
@@ -275,7 +275,7 @@ ORACLES: dict[str, str] = {
           FROM features f JOIN stats s USING (series_id) GROUP BY 1, 2""",
     "seasonal_naive": _with(*_NAIVE) + " SELECT series_id, ts, step, yhat FROM naive",
     "naive_rmse": _with(*_NAIVE)
-    + " SELECT series_id, count(*) AS n, round(sqrt(sum((yhat - y) * (yhat - y)) / count(*)), 6) AS rmse FROM naive GROUP BY 1",
+    + " SELECT series_id, count(*) AS n, 0::BIGINT AS unscored, round(sqrt(sum((yhat - y) * (yhat - y)) / count(*)), 6) AS rmse FROM naive GROUP BY 1",
     "rmse_by_step": _with(*_NAIVE)
     + """ SELECT series_id, step, count(*) AS n, round(sqrt(sum((yhat - y) * (yhat - y)) / count(*)), 6) AS rmse
           FROM naive GROUP BY 1, 2""",

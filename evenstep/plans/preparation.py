@@ -19,7 +19,7 @@ from evenstep.operators.scaling import SeriesScaler, scale_columns
 from evenstep.operators.splitting import chronological_split, require_ratios
 from evenstep.operators.targets import add_targets
 from evenstep.operators.windows import sequence_windows
-from evenstep.schema import FRAME_START, SERIES, SPLIT, TARGET_TS, TS, VALUE, Y, keys_of
+from evenstep.schema import FRAME_START, SERIES, SPLIT, TARGET_TS, TS, VALUE, Y, YHAT, keys_of
 from evenstep.sources.storage import settle
 
 
@@ -142,11 +142,16 @@ def fit_roster(
 def leaderboard(
     series: DataFrame, recipe: Recipe, overrides: dict[str, dict] | None = None, check: bool = True
 ) -> DataFrame:
-    """``[model, n, rmse, improvement_pct]`` on the test split, in original units, against the naive bar."""
+    """``[model, n, rmse, improvement_pct]`` on the test split, in original units, against the naive bar.
+
+    All models are scored on the same rows: those that the naive forecast can answer. With ``check`` it has to
+    answer all of them.
+    """
     rows = settle(supervised_frame(divide(series, recipe, check), recipe))
     train, test = rows.where(F.col(SPLIT) == "train"), rows.where(F.col(SPLIT) == "test")
     naive_name = f"seasonal_naive_{recipe.season}h"
-    forecasts = {naive_name: seasonal_naive(test, series, recipe.horizon, recipe.season, recipe.step, check)}
+    bar = settle(seasonal_naive(test, series, recipe.horizon, recipe.season, recipe.step, check).where(F.col(YHAT).isNotNull()))
+    test, forecasts = bar.drop(YHAT), {naive_name: bar}
     for name, model in fit_roster(train, recipe, overrides).items():
         forecasts[name] = model.predict(test)
     scores = None

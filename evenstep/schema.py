@@ -79,6 +79,16 @@ def long_form(frame: DataFrame, keep: list[str], array: str, value: str, step: s
     )
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on slice keys, in which a null is a key like any other, so that rows without a series stay.
+
+    ``left`` keeps its key columns; those of ``right`` go.
+    """
+    named = right.select(*[F.col(k).alias(f"_on_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    joined = left.join(named, all_of([F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys]), how)
+    return joined.drop(*[f"_on_{k}" for k in keys])
+
+
 def all_of(conditions: list[Column]) -> Column:
     out = F.lit(True)
     for condition in conditions:

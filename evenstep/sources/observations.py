@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DoubleType, FloatType, StringType
+from pyspark.sql.types import DoubleType, FloatType, StringType, StructField, StructType
 
 from evenstep.errors import DataSourceError
 from evenstep.schema import SERIES, TS, VALUE
@@ -33,6 +33,9 @@ MISSING_TEXTS = (
 )
 
 
+_SURPLUS = "_surplus"
+
+
 def require_source_columns(columns: list[str], needed: list[str], source: str) -> None:
     missing = sorted(set(needed) - set(columns))
     if missing:
@@ -90,12 +93,23 @@ def read_csv(
     series: str | None = None,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """A headed CSV file or folder as a panel. Types are set here, not inferred from a second scan."""
+    """A headed CSV file or folder as a panel. Types are set here, not inferred from a second scan.
+
+    A row with more fields than the header fails the query; one with fewer lacks its last values.
+    """
+    reader = spark.read.option("header", True).option("escape", '"')
     try:
-        raw = spark.read.option("header", True).option("escape", '"').csv(str(path))
+        header = reader.csv(str(path)).columns
     except AnalysisException as cause:
         raise DataSourceError(f"no readable CSV at {path}: {cause.getCondition()}") from cause
-    return observations(raw, ts, value, series, keep, source=str(path))
+    # One column more than the header has catches the first field too many.
+    fields = StructType([StructField(name, StringType()) for name in [*header, _SURPLUS]])
+    raw = reader.schema(fields).csv(str(path))
+    complaint = F.concat(F.lit(f"{path}: a row has more fields than the header, from: "), F.col(_SURPLUS))
+    whole = F.when(F.col(_SURPLUS).isNotNull(), F.raise_error(complaint).cast("string")).otherwise(F.col(f"`{ts}`"))
+    if ts in header:
+        raw = raw.withColumn(ts, whole)
+    return observations(raw.drop(_SURPLUS), ts, value, series, keep, source=str(path))
 
 
 def read_table(
