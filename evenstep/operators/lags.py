@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from evenstep.errors import FeatureError
 from evenstep.functions.calendar import with_frame_start
-from evenstep.functions.stamps import step_micros
-from evenstep.operators.blocks import BLOCK, GRIDDED, home_rows, in_block, steps_between, to_blocks
-from evenstep.schema import FRAME_START, VALUE, all_of, join_on, keys_of, require_panel, require_unique_stamps
+from evenstep.functions.stamps import floor_to, stamp_micros, step_micros
+from evenstep.operators.blocks import BLOCK, GRIDDED, block_steps, home_rows, in_block, steps_between, to_blocks
+from evenstep.schema import FRAME_START, TS, VALUE, all_of, join_on, keys_of, require_panel, require_unique_stamps
+from evenstep.sources.storage import settle
 
 
 #: Longest trailing window that is recomputed for every row; longer ones are put together from parts.
@@ -182,7 +183,10 @@ def number_rows(frame: DataFrame, step: int, steps_per_block: int | None = None)
     """Add ``_row``, the exact zero-based position in time within the slice, without a sort per slice."""
     keys = keys_of(frame)
     blocked = to_blocks(frame, step, steps_per_block=steps_per_block)
-    counted = blocked.groupBy(*keys, BLOCK).agg(F.count("*").alias("_rows"))
+    # Counted where the rows are read: a row per block and task is shuffled, not every row.
+    width = step * (steps_per_block or block_steps(0))
+    where = frame.select(*keys, floor_to(stamp_micros(TS), width).alias(BLOCK))
+    counted = settle(where.groupBy(*keys, BLOCK).agg(F.count("*").alias("_rows")))
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select(*keys, BLOCK, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     inside = F.row_number().over(in_block(blocked)) - 1

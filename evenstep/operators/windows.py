@@ -29,6 +29,7 @@ from evenstep.schema import (
     require_panel,
     require_unique_stamps,
 )
+from evenstep.sources.storage import settle
 
 
 def _starts_run(spec, step: int) -> Column:
@@ -48,15 +49,17 @@ def gap_segments(
     step, keys = step_micros(step), keys_of(frame)
     blocked = to_blocks(frame, step, 1, 0, steps_per_block)
     # A neighbour one step back is in the halo; a neighbour further back is a break either way.
-    marked = blocked.withColumn("_break", _starts_run(in_block(blocked), step).cast("bigint")).where(F.col(HOME))
-    per_block = marked.groupBy(*keys, BLOCK).agg(F.sum("_break").alias("_breaks"))
+    starts = blocked.withColumn("_break", F.when(F.col(HOME), _starts_run(in_block(blocked), step).cast("bigint")))
+    so_far = F.sum("_break").over(in_block(blocked).rowsBetween(Window.unboundedPreceding, 0))
+    # Stored, since the totals of the blocks are needed before the first row is answered.
+    marked = settle(starts.withColumn("_so_far", so_far).where(F.col(HOME)))
+    per_block = marked.groupBy(*keys, BLOCK).agg(F.max("_so_far").alias("_breaks"))
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.select(*keys, BLOCK, F.coalesce(F.sum("_breaks").over(earlier), F.lit(0)).alias("_before"))
-    so_far = F.sum("_break").over(in_block(marked).rowsBetween(Window.unboundedPreceding, 0))
     return home_rows(
         join_on(marked, offsets, [*keys, BLOCK])
-        .withColumn("segment", (F.col("_before") + so_far).cast("bigint"))
-        .drop("_before", "_break")
+        .withColumn("segment", (F.col("_before") + F.col("_so_far")).cast("bigint"))
+        .drop("_before", "_so_far", "_break")
     )
 
 

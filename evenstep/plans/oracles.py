@@ -6,6 +6,8 @@ and seasons by self-joins on the stamp.
 
 from __future__ import annotations
 
+import re
+
 from evenstep.plans.fixtures import HOURLY, LONG, SHORT
 from evenstep.plans.preparation import Recipe
 
@@ -150,17 +152,41 @@ def _constant_columns() -> str:
     return " UNION ALL ".join(one.format(c=c) for c in ["value", *calendar, *LONG.history])
 
 
-def _sequence_rows() -> str:
-    cells = [("value", "f.value"), ("lag_7h", "f.lag_7h"), ("is_weekend", "(isodow(f.ts) >= 6)::INTEGER::DOUBLE")]
-    head = "SELECT w.series_id, w.split, w.start_ts, w.target_ts, (date_diff('day', w.start_ts, f.ts) + 1)::INTEGER AS step"
-    join = "FROM windows w JOIN features f ON f.series_id = w.series_id AND f.split = w.split"
-    x = [f"{head}, '{name}' AS \"column\", {cell} AS value {join} AND f.ts >= w.start_ts AND f.ts < w.target_ts" for name, cell in cells]
-    y = f"{head}, 'y' AS \"column\", f.value AS value {join} AND f.ts >= w.target_ts AND f.ts <= w.end_ts"
-    return " UNION ALL ".join([*x, y])
+def _sequence_sums() -> str:
+    step = "(date_diff('day', w.start_ts, f.ts) + 1)"
+    ahead = "f.ts >= w.target_ts"
+
+    def one(name: str, column: str, part: str) -> str:
+        return f"""SELECT series_id, split, start_ts, target_ts, '{name}' AS "column", count(*) FILTER ({part}) AS "values",
+            round(sum({column} * step) FILTER ({part}), 3) + 0.0 AS weighed FROM met GROUP BY ALL"""
+
+    met = f"""SELECT w.*, f.* EXCLUDE (series_id, split, ts), {step} AS step, {ahead} AS ahead
+        FROM windows w JOIN wide f ON f.series_id = w.series_id AND f.split = w.split AND f.ts BETWEEN w.start_ts AND w.end_ts"""
+    parts = [one(name, name, "NOT ahead") for name in SHORT.features] + [one("y", "value", "ahead")]
+    return f", wide AS ({_WIDE}), met AS ({met}) " + " UNION ALL ".join(parts)
+
+
+def _calendar_exact(start: str) -> str:
+    return re.sub(r"round\((.*?), 6\) AS", r"\1 AS", _calendar(start))
+
+
+_WIDE = f"SELECT series_id, split, ts, value, {_calendar_exact('frame_start')}, {', '.join(SHORT.history)} FROM features"
+
+
+def _one_lag() -> str:
+    """CTEs: supervised rows with the lag, and a line per step fitted to the training rows."""
+    return """
+rows_of AS (SELECT t.series_id, t.split, t.ts, t.step, t.value AS y, f.lag_1h FROM targets t JOIN features f USING (series_id, split, ts)),
+line AS (SELECT step, regr_slope(y, lag_1h) AS b, regr_intercept(y, lag_1h) AS a FROM rows_of WHERE split = 'train' GROUP BY 1)"""
 
 
 _SHORT_FEATURES = (_DAILY_BY_STATUS, _DIVIDED, _features(SHORT))
 _LONG_FEATURES = (_DAILY, _DIVIDED, _features(LONG, digits=None))
+_SUPERVISED = (_DAILY, _DIVIDED, _features(SHORT, digits=None), _targets(SHORT, "features", ("series_id", "split")))
+_ONE_LAG_FORECAST = (
+    _with(*_SUPERVISED, _one_lag())
+    + " SELECT series_id, ts, step, round(a + b * lag_1h, 2) AS yhat FROM rows_of JOIN line USING (step) WHERE split = 'test'"
+)
 _SEGMENTED = (*_SHORT_FEATURES, _segments(SHORT, "features", "series_id, split"))
 _NAIVE = (*_LONG_FEATURES, _targets(LONG, "features", ("series_id", "split")), _naive())
 
@@ -242,7 +268,7 @@ ORACLES: dict[str, str] = {
           count(*) < {SHORT.sequence_length + SHORT.horizon} AS too_short FROM segments GROUP BY 1, 2""",
     "window_manifest": _with(*_SEGMENTED, _windows(SHORT, SHORT.sequence_length, SHORT.horizon))
     + " SELECT series_id, split, start_ts, target_ts, end_ts FROM windows",
-    "sequence_windows": _with(*_SEGMENTED, _windows(SHORT, 4, 2)) + " " + _sequence_rows(),
+    "sequence_windows": _with(_DAILY_BY_STATUS, _DIVIDED, _features(SHORT, digits=None), _segments(SHORT, "features", "series_id, split"), _windows(SHORT, SHORT.sequence_length, SHORT.horizon)) + _sequence_sums(),
     "tail_holdout": _with(*_SEGMENTED, _windows(SHORT, SHORT.sequence_length, SHORT.horizon))
     + """ SELECT series_id, split, target_ts,
           CASE WHEN row_number() OVER (PARTITION BY series_id ORDER BY target_ts) - 1
@@ -279,5 +305,30 @@ ORACLES: dict[str, str] = {
     "rmse_by_step": _with(*_NAIVE)
     + """ SELECT series_id, step, count(*) AS n, round(sqrt(sum((yhat - y) * (yhat - y)) / count(*)), 6) AS rmse
           FROM naive GROUP BY 1, 2""",
+    "linear_one_lag": _ONE_LAG_FORECAST,
+    "scaled_register_reload": _ONE_LAG_FORECAST,
+    "linear_normal_equations": f"""SELECT step::INTEGER AS step, feature, 0.0::DOUBLE AS moment
+       FROM range(1, {SHORT.horizon + 1}) t(step), (SELECT unnest({SHORT.features}) AS feature)""",
+    "forest_stump": _with(*_SUPERVISED)
+    + """, rows_of AS (SELECT split, ts, (isodow(ts) - 1)::DOUBLE AS dayofweek, month(ts)::DOUBLE AS month, value AS y
+                       FROM targets WHERE step = 1),
+       long AS (UNPIVOT (SELECT dayofweek, month, y FROM rows_of WHERE split = 'train') ON dayofweek, month INTO NAME feature VALUE x),
+       by_value AS (SELECT feature, x, count(*) AS n, sum(y) AS s FROM long GROUP BY 1, 2),
+       cut AS (SELECT feature, x, lead(x) OVER w AS above, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER (PARTITION BY feature) AS n,
+                      sum(s) OVER (PARTITION BY feature) AS s FROM by_value WINDOW w AS (PARTITION BY feature ORDER BY x)),
+       best AS (SELECT feature, (x + above) / 2 AS cut_at, sl / nl AS low, (s - sl) / (n - nl) AS high FROM cut WHERE above IS NOT NULL
+                ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC LIMIT 1)
+       SELECT 'all' AS series_id, ts, 1::INTEGER AS step,
+              round(CASE WHEN CASE feature WHEN 'month' THEN month ELSE dayofweek END <= cut_at THEN low ELSE high END, 2) AS yhat
+       FROM rows_of, best WHERE split = 'test'""",
+    "leaderboard_naive_linear": _with(*_SUPERVISED, _one_lag())
+    + f""", both_ways AS (
+         SELECT r.y, r.ts, s.value AS naive, a + b * lag_1h AS linear FROM rows_of r JOIN line USING (step)
+         JOIN series s ON s.ts = r.ts + to_days(r.step) - INTERVAL {SHORT.season} DAY WHERE split = 'test'),
+       scores AS (UNPIVOT (SELECT count(*) AS n, sqrt(avg((naive - y) ** 2)) AS naive, sqrt(avg((linear - y) ** 2)) AS linear FROM both_ways)
+                  ON naive, linear INTO NAME model VALUE rmse)
+       SELECT model, n, 0::BIGINT AS unscored, round(rmse, 2) AS rmse,
+              round((1 - rmse / max(rmse) FILTER (model = 'naive') OVER ()) * 100)::INTEGER AS improvement_pct FROM scores""",
+    "csv_roundtrip": "SELECT event_type AS series_id, ts::TIMESTAMP AS ts, value FROM events",
     "latest_version": """SELECT o_orderpriority AS name, max(o_orderkey)::VARCHAR AS version FROM orders GROUP BY 1""",
 }

@@ -11,7 +11,7 @@ from evenstep.functions.calendar import CALENDAR_NAMES, add_calendar, with_frame
 from evenstep.functions.stamps import step_micros
 from evenstep.models.linear import LinearForecaster, fit_linear
 from evenstep.models.naive import require_season, seasonal_naive
-from evenstep.models.trees import PRESETS, TreeForecaster, fit_preset
+from evenstep.models.trees import PRESETS, TreeForecaster, fit_trees
 from evenstep.operators.blocks import home_rows, to_blocks
 from evenstep.operators.evaluation import improvement_over, rmse
 from evenstep.operators.lags import add_lags, lag_names, require_periods, with_history
@@ -126,21 +126,20 @@ def naive_forecast(series: DataFrame, recipe: Recipe, split: str = "test", check
 Forecaster = LinearForecaster | TreeForecaster
 
 
-def fit_roster(
-    train: DataFrame, recipe: Recipe, overrides: dict[str, dict] | None = None
-) -> dict[str, Forecaster]:
-    """Every learned model of the roster on the same stored training rows."""
-    overrides = overrides or {}
+#: Name, kind and settings of a learner.
+Roster = dict[str, tuple[str, dict]]
+
+
+def fit_roster(train: DataFrame, recipe: Recipe, roster: Roster | None = None) -> dict[str, Forecaster]:
+    """The linear model and every learner of a roster (the presets) on the same stored training rows."""
     models: dict[str, Forecaster] = {"linear_regression": fit_linear(train, recipe.features, recipe.horizon)}
-    for preset in PRESETS:
-        models[preset] = fit_preset(
-            train, preset, recipe.horizon, features=recipe.features, **overrides.get(preset, {})
-        )
+    for name, (kind, settings) in (PRESETS if roster is None else roster).items():
+        models[name] = fit_trees(train, kind, recipe.features, recipe.horizon, **settings)
     return models
 
 
 def leaderboard(
-    series: DataFrame, recipe: Recipe, overrides: dict[str, dict] | None = None, check: bool = True
+    series: DataFrame, recipe: Recipe, roster: Roster | None = None, check: bool = True
 ) -> DataFrame:
     """``[model, n, rmse, improvement_pct]`` on the test split, in original units, against the naive bar.
 
@@ -152,7 +151,7 @@ def leaderboard(
     naive_name = f"seasonal_naive_{recipe.season}h"
     bar = settle(seasonal_naive(test, series, recipe.horizon, recipe.season, recipe.step, check).where(F.col(YHAT).isNotNull()))
     test, forecasts = bar.drop(YHAT), {naive_name: bar}
-    for name, model in fit_roster(train, recipe, overrides).items():
+    for name, model in fit_roster(train, recipe, roster).items():
         forecasts[name] = model.predict(test)
     scores = None
     for name, forecast in forecasts.items():

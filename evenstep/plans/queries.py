@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evenstep.functions.calendar import calendar_features, holiday_dates
 from evenstep.models.linear import fit_linear
-from evenstep.models.trees import fit_preset
+from evenstep.models.naive import seasonal_naive
+from evenstep.models.trees import fit_trees
 from evenstep.operators.cleaning import clean, clean_audit, duplicate_stamps
-from evenstep.operators.evaluation import rmse, rmse_by_step
+from evenstep.operators.evaluation import improvement_over, rmse, rmse_by_step
 from evenstep.operators.grid import complete_grid, missing_stamps
 from evenstep.operators.lags import feature_audit, lag_disagreement, lag_features, lag_names
-from evenstep.operators.quality import arrival_disorder, validation_report
+from evenstep.operators.quality import arrival_disorder, validate, validation_report
 from evenstep.operators.scaling import SeriesScaler, scale_columns, split_drift
 from evenstep.operators.splitting import reassemble, split_summary, tail_holdout
 from evenstep.operators.targets import horizon_targets
@@ -28,20 +30,21 @@ from evenstep.plans.fixtures import (
     order_versions,
     shipments_in_order_of_entry,
 )
-from evenstep.plans.preparation import Recipe, divide, feature_frame, leaderboard, naive_forecast, supervised_frame
+from evenstep.plans.preparation import Recipe, divide, feature_frame, leaderboard, naive_forecast, prepare, supervised_frame
 from evenstep.schema import FRAME_START, SERIES, SPLIT, TARGET_TS, TS, VALUE, Y, YHAT, long_form, null_counts
-from evenstep.sources.observations import observations
-from evenstep.sources.params import latest_versions
-from evenstep.sources.storage import settle
+from evenstep.sources.observations import observations, read_csv
+from evenstep.sources.params import ModelMeta, latest_versions, load_registered, register
+from evenstep.sources.storage import settle, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _DIGITS = 6
-#: Small trees, so that a fit per step fits into one query run; the roster's own sizes are the presets.
+#: Learners of sizes that a query can fit, named after them. They are not the presets, whose 24 steps of 300 rounds
+#: are tens of thousands of Spark jobs.
 _SMALL_TREES = {
-    "random_forest": {"numTrees": 20, "maxDepth": 6},
-    "boosted_deep": {"maxIter": 8, "maxDepth": 6, "stepSize": 0.3},
-    "boosted_shallow": {"maxIter": 8, "maxDepth": 4, "stepSize": 0.3},
+    "forest_20_trees_depth_6": ("forest", {"numTrees": 20, "maxDepth": 6}),
+    "boosted_8_rounds_depth_6": ("gbt", {"maxIter": 8, "maxDepth": 6, "stepSize": 0.3}),
+    "boosted_8_rounds_depth_4": ("gbt", {"maxIter": 8, "maxDepth": 4, "stepSize": 0.3}),
 }
 _TREE_RECIPE = Recipe(step="D", lags=(1, 2, 3, 7, 14), rolling=(7, 14), sequence_length=14, horizon=3, season=14)
 
@@ -175,20 +178,23 @@ def q_window_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_sequence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [VALUE, "lag_7h", "is_weekend"]
+    """Every window and column with the number of its values and their sum, each value times its step."""
     frame = feature_frame(_divided(spark, sf_dir), SHORT)
-    windows = sequence_windows(frame, 4, 2, SHORT.step, features=names, check=False)
+    windows = sequence_windows(frame, SHORT.sequence_length, SHORT.horizon, SHORT.step, dtype="double", check=False)
 
-    def cell(step: Column, column: str, value: Column) -> Column:
+    def cell(column: str, values: Column, first: int) -> Column:
+        weighed = F.transform(values, lambda value, at: value * (at + first))
+        total = F.aggregate(weighed, F.lit(0.0), lambda a, b: a + b)
         return F.struct(
-            step.cast("int").alias("step"), F.lit(column).alias("column"), value.cast("double").alias("value")
+            F.lit(column).alias("column"), F.size(values).cast("bigint").alias("values"), (F.round(total, 3) + F.lit(0.0)).alias("weighed")
         )
 
-    lookback = F.flatten(
-        F.transform("x", lambda row, at: F.array(*[cell(at + 1, name, row[i]) for i, name in enumerate(names)]))
-    )
-    ahead = F.transform("y", lambda value, at: cell(at + 5, "y", value))
-    return windows.select(SERIES, SPLIT, "start_ts", TARGET_TS, F.inline(F.concat(lookback, ahead)))
+    def column(i: int) -> Column:
+        return F.transform("x", lambda row: row[i])
+
+    cells = [cell(name, column(i), 1) for i, name in enumerate(SHORT.features)]
+    ahead = cell("y", F.col("y"), SHORT.sequence_length + 1)
+    return windows.select(SERIES, SPLIT, "start_ts", TARGET_TS, F.inline(F.array(*cells, ahead)))
 
 
 def q_tail_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,17 +270,84 @@ def _learned(spark: SparkSession, sf_dir: str, recipe: Recipe) -> tuple[DataFram
 
 
 def q_linear_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = _learned(spark, sf_dir, SHORT)
-    forecast = fit_linear(train, SHORT.features, SHORT.horizon).predict(test)
+    train, test = _learned(spark, sf_dir, LONG)
+    forecast = fit_linear(train, LONG.features, LONG.horizon).predict(test)
     return _rounded(long_form(forecast, [SERIES, TS], YHAT, "yhat"), ["yhat"])
 
 
-def _tree_forecast(preset: str) -> Query:
+_ONE_LAG = ["lag_1h"]
+
+
+def _in_hundredths(frame: DataFrame, column: str) -> DataFrame:
+    return frame.withColumn(column, F.round(F.col(column), 2))
+
+
+def q_linear_one_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _learned(spark, sf_dir, SHORT)
+    forecast = fit_linear(train, _ONE_LAG, SHORT.horizon).predict(test)
+    return _in_hundredths(long_form(forecast, [SERIES, TS], YHAT, "yhat"), "yhat")
+
+
+def q_linear_normal_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What least squares leaves over is at right angles to every feature: all moments are 0."""
+    train, _ = _learned(spark, sf_dir, SHORT)
+    fitted = settle(fit_linear(train, SHORT.features, SHORT.horizon).predict(train))
+    left = [F.element_at(Y, h) - F.element_at(YHAT, h) for h in range(1, SHORT.horizon + 1)]
+    moments = [
+        F.struct(F.lit(h).alias("step"), F.lit(name).alias("feature"), F.try_divide(F.sum(F.col(name) * rest), F.sum(F.abs(F.col(name) * rest))).alias("moment"))
+        for h, rest in enumerate(left, 1)
+        for name in SHORT.features
+    ]
+    found = fitted.agg(F.array(*moments).alias("all")).select(F.inline("all"))
+    return found.withColumn("moment", F.round(F.coalesce("moment", F.lit(0.0)), 6) + F.lit(0.0))
+
+
+def q_forest_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tree of one split on whole-number features: the split that lowers the variance most."""
+    train, test = _learned(spark, sf_dir, SHORT)
+    model = fit_trees(
+        train, "forest", ["dayofweek", "month"], 1, numTrees=1, maxDepth=1, bootstrap=False, featureSubsetStrategy="all"
+    )
+    return _in_hundredths(long_form(model.predict(test), [SERIES, TS], YHAT, "yhat"), "yhat")
+
+
+def q_leaderboard_naive_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _learned(spark, sf_dir, SHORT)
+    series = settle(daily_quantity(spark, sf_dir))
+    bar = settle(seasonal_naive(test, series, SHORT.horizon, SHORT.season, SHORT.step, check=True))
+    linear = fit_linear(train, _ONE_LAG, SHORT.horizon).predict(bar.drop(YHAT))
+    scores = [rmse(frame).withColumn("model", F.lit(name)) for name, frame in (("naive", bar), ("linear", linear))]
+    return _in_hundredths(improvement_over(scores[0].unionByName(scores[1]), "naive"), "rmse")
+
+
+def q_scaled_register_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain: clean, validate, split, features, scale, fit, register, reload, predict, back to units."""
+    series = settle(clean(daily_quantity(spark, sf_dir)))
+    validate(series, min_rows=100, step=SHORT.step, allow_missing_index=0.5)
+    prepared = prepare(series, SHORT, check=False)
+    train = settle(prepared.tabular.where(F.col(SPLIT) == "train"))
+    model = fit_linear(train, _ONE_LAG, SHORT.horizon)
+    root = f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}"
+    version = register(root, model, ModelMeta("one_lag", "linear", _ONE_LAG, SHORT.horizon), prepared.scaler, spark)
+    stored = load_registered(root, "one_lag", version, spark)
+    predicted = stored.model.predict(prepared.tabular.where(F.col(SPLIT) == "test"))
+    restored = stored.scaler.inverse_transform(predicted.select(SERIES, TS, YHAT), [YHAT])
+    return _in_hundredths(long_form(restored, [SERIES, TS], YHAT, "yhat"), "yhat")
+
+
+def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as headed CSV and read back as a panel."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("string"), "value", "event_type").write.option("header", True).csv(path)
+    return read_csv(spark, path, "ts", "value", "event_type")
+
+
+def _tree_forecast(name: str) -> Query:
+    kind, settings = _SMALL_TREES[name]
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         train, test = _learned(spark, sf_dir, _TREE_RECIPE)
-        model = fit_preset(
-            train, preset, _TREE_RECIPE.horizon, features=_TREE_RECIPE.features, **_SMALL_TREES[preset]
-        )
+        model = fit_trees(train, kind, _TREE_RECIPE.features, _TREE_RECIPE.horizon, **settings)
         return _rounded(long_form(model.predict(test), [SERIES, TS], YHAT, "yhat"), ["yhat"])
 
     return run
@@ -332,9 +405,15 @@ QUERIES: dict[str, Query] = {
     "naive_rmse": q_naive_rmse,
     "rmse_by_step": q_rmse_by_step,
     "linear_forecast": q_linear_forecast,
-    "forest_forecast": _tree_forecast("random_forest"),
-    "gbt_forecast": _tree_forecast("boosted_deep"),
-    "gbt_shallow_forecast": _tree_forecast("boosted_shallow"),
+    "forest_forecast": _tree_forecast("forest_20_trees_depth_6"),
+    "gbt_forecast": _tree_forecast("boosted_8_rounds_depth_6"),
+    "gbt_shallow_forecast": _tree_forecast("boosted_8_rounds_depth_4"),
     "forecast_leaderboard": q_forecast_leaderboard,
     "latest_version": q_latest_version,
+    "linear_one_lag": q_linear_one_lag,
+    "linear_normal_equations": q_linear_normal_equations,
+    "forest_stump": q_forest_stump,
+    "leaderboard_naive_linear": q_leaderboard_naive_linear,
+    "scaled_register_reload": q_scaled_register_reload,
+    "csv_roundtrip": q_csv_roundtrip,
 }
