@@ -164,17 +164,17 @@ def test_feature_order_is_the_fitted_one(prepared_rows):
 
 
 def test_learned_models_beat_the_naive_bar(seasonal):
-    overrides = {
-        "random_forest": {"numTrees": 10, "maxDepth": 6},
-        "boosted_deep": {"maxIter": 5, "maxDepth": 5, "stepSize": 0.5},
-        "boosted_shallow": {"maxIter": 5, "maxDepth": 4, "stepSize": 0.5},
+    roster = {
+        "forest": ("forest", {"numTrees": 10, "maxDepth": 6}),
+        "deep": ("gbt", {"maxIter": 5, "maxDepth": 5, "stepSize": 0.5}),
+        "shallow": ("gbt", {"maxIter": 5, "maxDepth": 4, "stepSize": 0.5}),
     }
     recipe = Recipe(lags=(1, 2, 24), rolling=(6, 24), sequence_length=24, horizon=2, season=24)
-    scores = {r.model: r for r in leaderboard(seasonal, recipe, overrides).collect()}
-    assert set(scores) == {"seasonal_naive_24h", "linear_regression", *overrides}
+    scores = {r.model: r for r in leaderboard(seasonal, recipe, roster).collect()}
+    assert set(scores) == {"seasonal_naive_24h", "linear_regression", *roster}
     assert scores["seasonal_naive_24h"].improvement_pct == 0
     assert scores["linear_regression"].improvement_pct > 0
-    assert scores["random_forest"].improvement_pct > 0
+    assert scores["forest"].improvement_pct > 0
 
 
 def test_trees_are_repeatable_and_refuse_unknown_names(prepared_rows):
