@@ -68,15 +68,15 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     asked = pairs.select("host", "day", F.posexplode(_domains(F.col("host"))).alias("depth", "domain"))
     active = _active(asked.select("domain", "day").distinct(), validity_intervals(entries))
     listed = asked.join(active.where("entry.action != 'lift'"), ["domain", "day"])
-    decided = listed.groupBy("host", "day").agg(F.min_by(F.struct("domain", "entry"), "depth").alias("by"))
-    verdict = F.when(F.col("by.entry.action") == "block", "blocked").when(F.col("by.entry.action") == "allow", "allowed").otherwise("unlisted")
-    named = decided.select(F.col("host").alias("_host"), F.col("day").alias("_day"), "by")
+    decided = listed.groupBy("host", "day").agg(F.min_by(F.struct("domain", "entry"), "depth").alias("_by"))
+    verdict = F.when(F.col("_by.entry.action") == "block", "blocked").when(F.col("_by.entry.action") == "allow", "allowed").otherwise("unlisted")
+    named = decided.select(F.col("host").alias("_host"), F.col("day").alias("_day"), "_by")
     return captures.join(named, (F.col("host") == F.col("_host")) & (F.col("fetched_on") == F.col("_day")), "left").select(
         *[F.col(f"`{c}`") for c in captures.columns],
         verdict.alias("verdict"),
-        F.col("by.domain").alias("domain"),
-        F.col("by.entry.valid_from").alias("valid_from"),
-        F.col("by.entry.valid_to").alias("valid_to"),
+        F.col("_by.domain").alias("domain"),
+        F.col("_by.entry.valid_from").alias("valid_from"),
+        F.col("_by.entry.valid_to").alias("valid_to"),
     )
 
 

@@ -1,0 +1,215 @@
+"""Rules, classifiers, language, tokens and packing on small and awkward tables."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import regex
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from evenstep.llm import quality_classifier, quality_rules, toxicity
+from evenstep.llm.byte_bpe import decode, digests, encode
+from evenstep.llm.common import bounded_sample
+from evenstep.llm.language_id import held_out_identification
+from evenstep.llm.packing import best_fit, packed_documents
+from evenstep.llm.pretokens import pretokens
+from llm_cases import CLASHING, prose
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+JSON = public_tokenizers.path("byte_bpe_50k.json")
+AWKWARD = [
+    None,
+    "",
+    " \t\n\v\f\r ",
+    "  é日本語 ١٢٣ don't I'LL we'll 'tis ''s <|endoftext|> x",
+    "a  b\n\n\nc   \n d \x1c e",
+    "😀" * 40,
+    "word " * 30_000,
+    prose(1, 40),
+    prose(1, 40),
+]
+
+
+@pytest.fixture
+def awkward(documents):
+    return documents([*enumerate(AWKWARD), (3, "same id"), (None, "no id")], CLASHING)
+
+
+def test_pretokens_are_the_patterns_matches():
+    pattern, draw = regex.compile(public_tokenizers.PATTERN), random.Random(5)
+    signs = ["'", "s", "t", "re", "ll", " ", "  ", "\n", "\t", " ", "1", "²", "é", "中", "!", "\x1c", "\x85", "😀", "S", "́"]
+    for _ in range(4000):
+        text = "".join(draw.choice(signs) for _ in range(draw.randint(0, 12)))
+        assert pretokens(text) == pattern.findall(text)
+
+
+def test_encoding_and_decoding_equal_the_library(awkward):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoded = encode(awkward, RANKS, public_tokenizers.PATTERN, parts=3)
+    found = digests(decode(encoded, RANKS)).collect()
+    texts = [(r.doc_id, r.text) for r in awkward.collect()]
+    expected = []
+    for doc_id, text in texts:
+        ids = library.encode_ordinary(text or "")
+        digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        expected.append((doc_id, len(ids), digest, hashlib.sha256((text or "").encode()).hexdigest()))
+    assert sorted(map(tuple, found), key=str) == sorted(expected, key=str)
+    assert encode(awkward.limit(0), RANKS, public_tokenizers.PATTERN).collect() == []
+
+
+def test_packed_pieces_are_whole_and_gapless(awkward):
+    pieces = [r.asDict() for r in packed_documents(awkward, JSON).collect()]
+    library = Tokenizer.from_file(JSON)
+    expected = []
+    for row in awkward.collect():
+        ids = np.array([*library.encode(row.text or "", add_special_tokens=False).ids, 2], "<u4")
+        first = len(ids) % 1024 or 1024
+        cuts = [0, *range(first, len(ids), 1024), len(ids)]
+        for piece, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            expected.append((row.doc_id, piece, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+    assert sorted(((p["doc_id"], p["piece"], p["start"], p["length"], p["ids_crc32"]) for p in pieces), key=str) == sorted(expected, key=str)
+    by_sequence: dict[int, list] = {}
+    for p in pieces:
+        by_sequence.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    for places in by_sequence.values():
+        places.sort()
+        assert [a for a, _ in places] == [sum(n for _, n in places[:i]) for i in range(len(places))]
+        assert sum(n for _, n in places) <= 1024
+    assert len(by_sequence) == -(-sum(p["length"] for p in pieces) // 1024)
+    assert packed_documents(awkward.limit(0), JSON).collect() == []
+
+
+def test_best_fit_takes_the_fullest_bin_with_room():
+    assert best_fit(np.array([6, 5, 4, 3, 2]), 10).tolist() == [0, 1, 0, 1, 1]
+    sizes = np.random.default_rng(1).integers(1, 100, 2000)
+    bins = best_fit(sizes, 100)
+    assert np.bincount(bins, sizes).max() <= 100 and bins.max() + 1 <= 1.02 * sizes.sum() / 100
+
+
+def _rules_by_hand(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    many = {w for w in windows if windows.count(w) > 1} if len(windows) < 500 else set(windows)
+    covered = {i + k for i, w in enumerate(windows) if w in many for k in range(5)}
+    symbols = sum(c in "#*$%&|<>" for c in text or "")
+    return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(covered)
+
+
+def test_rule_measures_by_hand_and_in_sql(spark, awkward):
+    more = ["a b c d e a b c d e f", "x\ny\nx\n\n\nx", "# * $ é|<>", "q w e r t y q w e r t", "a b c d e"]
+    frame = awkward.select("doc_id", "text").unionByName(
+        spark.createDataFrame(list(enumerate(more, 50)), "doc_id long, text string")
+    )
+    texts = sorted((r for r in frame.collect()), key=str)
+    found = sorted(quality_rules.judge(frame).collect(), key=str)
+    by_hand = sorted(((r.doc_id, *_rules_by_hand(r.text)) for r in texts), key=str)
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert sorted((tuple(r[n] for n in names) for r in found), key=str) == by_hand
+    assert not any(r.kept for r in found if r.base_failed)
+    unique = frame.where("doc_id is not null and doc_id != 3").toPandas()
+    con = duckdb.connect()
+    con.register("documents", unique)
+    sql = con.execute(quality_rules.judged_sql()).df().set_index("doc_id").sort_index()
+    ours = quality_rules.judge(frame.where("doc_id is not null and doc_id != 3")).toPandas().set_index("doc_id").sort_index()
+    assert (sql[ours.columns] == ours).all().all()
+
+
+def test_kept_rows_are_unchanged(awkward, documents):
+    good = "The men of the house and the dog walk to the sea in the rain with a bag of food for the old man."
+    frame = awkward.unionByName(documents([(70, good), (70, good), (71, good + " ###" * 40)], CLASHING))
+    kept = quality_rules.kept_documents(frame)
+    assert kept.columns == frame.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert ids.count(70) == 2 and 71 not in ids and 0 not in ids
+    assert quality_rules.kept_documents(frame.limit(0)).collect() == []
+
+
+@pytest.fixture
+def marked(spark):
+    """Clean and marked texts, with labels of both kinds."""
+    texts, labels = [], []
+    for i in range(240):
+        text = prose(i, 60)
+        if i % 3 == 0:
+            words = text.split(" ")
+            text = " ".join(w + "###" if k % 2 else "vilka" + w for k, w in enumerate(words))
+        texts.append((i, text, "en"))
+        labels.append((i, int(i % 3 != 0), int(i % 3 == 0)))
+    texts += [(1000, None, "en"), (1001, "", "en"), (1001, "", "en"), (None, prose(3, 9), None), (1002, "x " * 40_000, "en")]
+    return (
+        spark.createDataFrame(texts, "doc_id long, text string, lang string"),
+        spark.createDataFrame([*labels, (1000, 1, 0), (5000, 1, 1), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int"),
+    )
+
+
+@pytest.mark.parametrize("operator, label", [(quality_classifier, "quality"), (toxicity, "toxic")])
+def test_held_out_labels_are_predicted(marked, operator, label):
+    docs, labels = marked
+    found = operator.held_out_scores(docs, labels)
+    rows = found.collect()
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    modulus, held = (5, 0) if label == "quality" else (4, 2)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % modulus == held) for r in rows)
+    right = found.where("held_out").join(labels, "doc_id").where(f"{label} is not null and doc_id < 1000")
+    assert right.where(f"predicted != {label}").count() <= 0.03 * right.count()
+    bare = operator.held_out_scores(docs, labels.limit(0)).collect()
+    assert len(bare) == len(rows) and len({r.score for r in bare}) == 1
+    assert operator.held_out_scores(docs.limit(0), labels).collect() == []
+
+
+def test_filter_by_quality_keeps_rows_whole(marked):
+    docs, labels = marked
+    kept = quality_classifier.kept_documents(docs, labels)
+    ids = {r.doc_id for r in kept.collect()}
+    assert kept.columns == docs.columns
+    assert len([i for i in range(240) if i % 3 and i in ids]) >= 155 and not [i for i in range(0, 240, 3) if i in ids]
+    assert quality_classifier.kept_documents(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_kneser_ney_tells_by_prefix():
+    table = np.zeros((2, toxicity.CELLS))
+    for word in (b"grimol", b"grimano", b"grimu", b"grimere"):
+        np.add.at(table[1], toxicity.cells(word), 1)
+    for i in range(300):
+        np.add.at(table[int(i % 3 == 0)], toxicity.cells(prose(i, 30).encode()), 1)
+    ratio = toxicity.kneser_ney(table)
+    assert ratio[toxicity.cells(b"grimzak")].min() > 1 and abs(ratio[toxicity.cells(b"lo")]).max() < 1
+    assert len(toxicity.cells(None)) == 0 and len(toxicity.cells(b" 12 .")) == 0
+
+
+def test_languages_are_told_apart(spark):
+    letters = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "ver"], "cc": ["ção", "nh", "lhe"]}
+    draw, rows = random.Random(2), []
+    for i in range(300):
+        lang = draw.choice(list(letters))
+        text = " ".join("".join(draw.choice(letters[lang]) for _ in range(3)) for _ in range(20))
+        rows.append((i, text, lang if i % 7 else None, lang))
+    rows += [(900, None, "aa", None), (901, "", "aa", None), (902, "12 !?", "aa", None), (None, "kaka lolo", "aa", "aa"), (903, "lomi " * 40_000, None, "aa")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, truth string")
+    truth = {r.doc_id: r.truth for r in frame.collect()}
+    found = held_out_identification(frame).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert 0 <= r.score <= 1
+        assert r.lang_pred == (truth[r.doc_id] or "und")
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    assert {r.lang_pred for r in held_out_identification(frame.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    assert held_out_identification(frame.limit(0)).collect() == []
+
+
+def test_bounded_sample_is_whole_where_small(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(1000)] + [("b", i) for i in range(5)], "s string, k long")
+    counts = {r.s: r["count"] for r in bounded_sample(rows, "s", "k", 20).groupBy("s").count().collect()}
+    assert counts == {"a": 20, "b": 5}
