@@ -156,3 +156,14 @@ def test_repeated_passages_are_found_and_cut(documents, schema):
     assert cut.where("doc_id is null").count() == 1 and cut.count() == len(rows) - 1
     assert cut.where("n_chars != length(text)").count() == 0
     assert repeated_passages(frame.limit(0)).collect() == []
+
+
+def test_a_passage_that_stands_in_two_places(documents):
+    twice = prose(5, 60)
+    frame = documents([twice + " " + prose(6, 300) + " " + twice, prose(7, 20) + " " + twice, twice + " " + twice])
+    spans = {(r.doc_id, r.kept): (r.start_word, r.end_word) for r in repeated_passages(frame).collect()}
+    assert spans[(1, False)] == (20, 80) and (2, False) in spans and (0, True) in spans
+    draw = np.random.default_rng(6)
+    one, two = (draw.integers(0, 2**60, 60, dtype=np.uint64) for _ in range(2))
+    swapped = passages(np.concatenate([two, draw.integers(0, 2**60, 400, dtype=np.uint64), one]), np.concatenate([one, two]), 46)
+    assert all(0 <= low < high <= 520 and 0 <= s < e <= 120 for low, high, s, e in swapped)
