@@ -18,6 +18,8 @@ from evenstep.sources.storage import settle
 
 #: Longest trailing window that is recomputed for every row; longer ones are put together from parts.
 DIRECT_WINDOW = 32
+# The lags and trailing windows of an hourly load series.
+LAGS, ROLLING = (1, 2, 3, 24, 48, 168), (24, 168)
 
 
 def require_periods(lags: Sequence[int], rolling: Sequence[int]) -> None:
@@ -94,7 +96,7 @@ def _trailing(
                 {names[0]: F.when(full, F.avg("_known").over(over)), names[1]: F.when(full, spread)}
             )
         else:
-            part = _part_length(length, windows)
+            part = _part_length(length)
             sizes = [part] * (length // part) + ([length % part] if length % part else [])
             for size in sizes:
                 add(size)
@@ -120,18 +122,21 @@ def _trailing(
     return frame, held
 
 
-def _part_length(length: int, windows: Sequence[int]) -> int:
-    """Length of the parts of a long window: a shorter asked-for window that fits evenly, or about its root."""
-    shared = [w for w in windows if w < length and length % w == 0 and length // w <= DIRECT_WINDOW]
-    if shared:
-        return max(shared)
+def _part_length(length: int) -> int:
+    """Length of the parts of a long window, from its own length alone, so that no other window changes its digits.
+
+    The longest direct window that fits evenly, or about the root.
+    """
+    even = [w for w in range(2, DIRECT_WINDOW + 1) if length % w == 0 and length // w <= DIRECT_WINDOW]
+    if even:
+        return max(even)
     return isqrt(length) if length <= DIRECT_WINDOW**2 else length // DIRECT_WINDOW
 
 
 def lag_features(
     frame: DataFrame,
-    lags: Sequence[int] = (1, 2, 3, 24, 48, 168),
-    rolling: Sequence[int] = (24, 168),
+    lags: Sequence[int] = LAGS,
+    rolling: Sequence[int] = ROLLING,
     step: str | timedelta = "h",
     target: str = VALUE,
     check: bool = True,

@@ -141,3 +141,15 @@ def test_unreadable_meta_is_not_taken_for_none(spark, tmp_path):
     with pytest.raises(Exception) as caught:
         load_registered(str(tmp_path), "m", spark=spark)
     assert not isinstance(caught.value, RegistryError)
+
+
+def test_digits_of_a_window_do_not_hang_on_other_windows(spark):
+    from evenstep.operators.lags import lag_features
+
+    rows = [("a", START + timedelta(hours=i), 1e6 + (i * 7919 % 101) / 7.0) for i in range(400)]
+    frame = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, value double")
+    name = "rolling_std_168h"
+    alone, beside = (
+        {r.ts: r[name] for r in lag_features(frame, [], windows, check=False).collect()} for windows in ([168], [24, 84, 168])
+    )
+    assert alone == beside and sum(v is not None for v in alone.values()) == 232
