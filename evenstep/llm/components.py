@@ -22,7 +22,8 @@ def components(links: DataFrame) -> DataFrame:
     is left out.
     """
     a, b = links.columns
-    links = links.select(F.col(f"`{a}`").cast("long").alias("u"), F.col(f"`{b}`").cast("long").alias("v")).where("u is not null and v is not null")
+    # Stored: what made the links may be dear, and they are read more than once.
+    links = settle(links.select(F.col(f"`{a}`").cast("long").alias("u"), F.col(f"`{b}`").cast("long").alias("v")).where("u is not null and v is not null"))
     alone = links.where("u = v").select("u", "v")
     pairs = settle(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None

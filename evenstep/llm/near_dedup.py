@@ -99,9 +99,12 @@ class Forest:
 
 def _agreement(sketches: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Estimated similarity of every pair, freed of the chance agreement of single bytes."""
-    equal = np.zeros((len(sketches), len(others)), np.int16)
-    for column, other in zip(sketches.T, others.T):
-        equal += column[:, None] == other[None, :]
+    if len(sketches) * len(others) <= 4096:
+        equal = np.count_nonzero(sketches[:, None, :] == others[None, :, :], axis=2)
+    else:
+        equal = np.zeros((len(sketches), len(others)), np.int16)
+        for column, other in zip(sketches.T, others.T):
+            equal += column[:, None] == other[None, :]
     return (equal / sketches.shape[1] - 1 / 256) * 256 / 255
 
 
