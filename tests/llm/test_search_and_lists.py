@@ -122,6 +122,43 @@ def test_passages_need_length_and_similarity():
     assert passages(np.concatenate([a, half]), np.concatenate([shared, b]), 46) == []
 
 
+def _meets_the_rule(a, b, width):
+    """Whether any two stretches from shared shingle to shared shingle are long and similar enough (one shift only)."""
+    shared = [i for i in range(len(b)) if b[i] in set(a.tolist())]
+    where = {v: i for i, v in enumerate(a.tolist())}
+    for s in shared:
+        for e in reversed(shared):
+            low, high = where[b[s]], where[b[e]] + 1
+            if e + 1 - s >= width and high - low >= width:
+                ours, theirs = set(b[s : e + 1].tolist()), set(a[low:high].tolist())
+                if 4 * len(ours & theirs) >= 3 * len(ours | theirs):
+                    return True
+    return False
+
+
+def test_an_edit_at_any_place_of_a_passage():
+    draw = np.random.default_rng(8)
+
+    def shingled(words):
+        return np.array([hash(tuple(words[i : i + 5])) & 0xFFFFFFFFFFFFFFF for i in range(len(words) - 4)], np.uint64)
+
+    missed = []
+    for size in (50, 51, 55, 60, 75, 100):
+        passage = draw.integers(0, 2**60, size).tolist()
+        for at in range(size):
+            for edit in ([-1], [passage[at], *range(-6, -1)], []):
+                edited = passage[:at] + edit + passage[at + 1 :]
+                sides = [draw.integers(0, 2**60, 30).tolist() for _ in range(4)]
+                a, b = shingled(sides[0] + passage + sides[1]), shingled(sides[2] + edited + sides[3])
+                found = passages(a, b, 46)
+                for low, high, s, e in found:
+                    ours, theirs = set(b[s:e].tolist()), set(a[low:high].tolist())
+                    assert min(e - s, high - low) >= 46 and 4 * len(ours & theirs) >= 3 * len(ours | theirs)
+                if _meets_the_rule(a, b, 46) and not found:
+                    missed.append((size, at, len(edit)))
+    assert missed == []
+
+
 @pytest.mark.parametrize("schema", [None, CLASHING])
 def test_repeated_passages_are_found_and_cut(documents, schema):
     passage, other = prose(77, 70), prose(78, 64)
