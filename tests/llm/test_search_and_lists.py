@@ -6,9 +6,11 @@ import math
 from datetime import date
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from evenstep.llm import substring_dedup
 from evenstep.llm.nearest import nearest
 from evenstep.llm.substring_dedup import compact_windows, passages, repeated_passages, without_repeats
 from evenstep.llm.url_filters import host_of, judge, validity_intervals
@@ -204,3 +206,29 @@ def test_a_passage_that_stands_in_two_places(documents):
     one, two = (draw.integers(0, 2**60, 60, dtype=np.uint64) for _ in range(2))
     swapped = passages(np.concatenate([two, draw.integers(0, 2**60, 400, dtype=np.uint64), one]), np.concatenate([one, two]), 46)
     assert all(0 <= low < high <= 520 and 0 <= s < e <= 120 for low, high, s, e in swapped)
+
+
+def test_partners_beyond_the_first_document(documents, monkeypatch):
+    """Parts of a passage in earlier documents do not hide it in later ones, in one block of a bucket or in many."""
+    texts = []
+    for case in range(12):
+        words = prose(900 + case, 54).split(" ")
+        edited = [*words[:27], "changed", *words[28:]]
+        for k, part in enumerate([words[:27], words[27:], words[5:49], words, words, edited]):
+            seed = 10_000 + 100 * case + 2 * k
+            texts.append(" ".join([prose(seed, 39), f"x{seed}", *part, f"y{seed}", prose(seed + 1, 39)]))
+    whole = {6 * case + k for case in range(12) for k in (4, 5)}
+    for block in (substring_dedup.BLOCK, 2):
+        monkeypatch.setattr(substring_dedup, "BLOCK", block)
+        found = [r for r in repeated_passages(documents(texts)).collect() if not r.kept]
+        assert {r.doc_id for r in found} == whole
+        assert all((r.start_word, r.end_word, r.first_doc_id) == (40, 94, r.doc_id // 6 * 6 + 3) for r in found)
+
+
+def test_places_beyond_24_bits():
+    centre = (1 << 24) + 70
+    place = pa.array([centre << 24 | 50 << 12 | 50], pa.int64())
+    columns = {"a": pa.array([1]), "b": pa.array([2]), "at_a": place, "at_b": place, "bucket": pa.array([0])}
+    found = substring_dedup._meet(pa.table(columns))
+    assert found is not None and (found["from_a"][0], found["to_a"][0]) == (centre - 50, centre + 50)
+    assert "mark int" in substring_dedup.WINDOW
