@@ -1,12 +1,14 @@
-"""Toxicity by comparing two class-conditional Kneser-Ney models.
-
-Each class has a model of its own over words, read as growing prefixes: its first bytes, then longer ones given
-those, then the whole word given the last. A step's probability is an interpolated Kneser-Ney one: the class's
-discounted counts of the longer form after the shorter, and for the mass set aside, discounted backoff counts
-that both classes share. So a rare word that only one class uses says little by itself, but what its prefix has in
-common with other rare words counts. Prefixes are hashed into a tree of fixed size, so the tables of counts do
-not grow with the data while they cover every labelled row. A document is judged by the length-normalised
-difference of its two log-likelihoods.
+"""Toxicity by comparing two class-conditional Kneser-Ney models of words in their order.
+
+Each class has an interpolated Kneser-Ney model of word pairs: the class's discounted counts of a word after another,
+and for the mass set aside, the word's continuation count (the distinct words it follows), which both classes share.
+Pairs are keyed by full hashes and kept as Spark tables that grow with the labelled rows; a document's distinct pairs
+are joined to them.
+
+Beside it, since most words are rare, a tree of hashed prefixes of single words tells what a rare word has in common
+with others. Its size is fixed and its backoff is discounted pooled counts, so it is no Kneser-Ney model in the strict
+sense, and it adds two measures to the curve. A document is judged by the length-normalised differences of the
+log-likelihoods under either.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evenstep.llm.common import bounded_sample, hasher, per_batch, remainder, schema_of, texts
+from evenstep.llm.common import bounded_sample, hasher, mixed, per_batch, remainder, schema_of, texts
+from evenstep.sources.storage import settle
 
 #: Bytes of the prefixes (the whole word comes last) and the bits that a step takes in the tree.
 PREFIXES = (3, 5, 8)
@@ -37,16 +40,18 @@ _LETTERS[65:91] = np.arange(97, 123)
 _LETTERS[128:] = np.arange(128, 256)
 
 
-def cells(text: bytes | None) -> np.ndarray:
-    """For each word of the text its leaf in the hashed tree of prefixes; words are runs of letters."""
-    if not text:
-        return np.empty(0, np.int64)
-    data = _LETTERS[np.frombuffer(b" " + text + b" ", np.uint8)]
+def _words(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of the text, and where its words start and end in them; words are runs of letters."""
+    data = _LETTERS[np.frombuffer(b" " + (text or b"") + b" ", np.uint8)]
     gap = data == 32
-    starts = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
+    return data, np.flatnonzero(gap[:-1] & ~gap[1:]) + 1, np.flatnonzero(~gap[:-1] & gap[1:]) + 1
+
+
+def cells(text: bytes | None) -> np.ndarray:
+    """For each word of the text its leaf in the hashed tree of prefixes."""
+    data, starts, ends = _words(text)
     if not len(starts):
         return np.empty(0, np.int64)
-    ends = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
     hashed = hasher(data)
     leaves = np.zeros(len(starts), np.int64)
     for size, bits in zip((*PREFIXES, len(data)), BITS):
@@ -55,13 +60,93 @@ def cells(text: bytes | None) -> np.ndarray:
     return leaves
 
 
+def pairs(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of the text: hash of the pair, of the word before (0 at the start), and of the word."""
+    data, starts, ends = _words(text)
+    word = hasher(data)(starts, ends)
+    before = np.concatenate((np.zeros(1, np.uint64), word[:-1]))[: len(word)]
+    return mixed(before ^ mixed(word, 7), 3), before, word
+
+
+def _pair_rows(rows: DataFrame, name: str, ddl: str) -> DataFrame:
+    """``pair, before, word, <name>, n`` from ``text`` and a whole-number column: counted once in each batch."""
+
+    def count(batch: pa.RecordBatch) -> dict:
+        found = [pairs(t) for t in texts(batch)]
+        of = np.repeat(batch.column(name).to_numpy(), [len(f[0]) for f in found])
+        pair, before, word = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((of, pair))
+        pair, before, word, of = pair[order], before[order], word[order], of[order]
+        new = np.ones(len(pair), bool)
+        new[1:] = (pair[1:] != pair[:-1]) | (of[1:] != of[:-1])
+        starts = np.flatnonzero(new)
+        columns = {k: v[starts].view(np.int64) for k, v in (("pair", pair), ("before", before), ("word", word))}
+        return columns | {name: of[starts], "n": np.diff(np.append(starts, len(pair)))}
+
+    return per_batch(rows.select("text", name), count, f"pair long, before long, word long, {name} {ddl}, n long")
+
+
+def pair_ratios(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Log-ratio of a word after another under the toxic and the ordinary class, of all rows of ``text, toxic``.
+
+    ``pair, ratio`` for pairs that were seen, and ``before, back`` for unseen ones after a known word: there the
+    continuation counts are the same for both classes and only the mass set aside differs.
+    """
+    rows = _pair_rows(labelled, "toxic", "int")
+    by_class = [F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
+    seen = settle(rows.groupBy("pair", "before", "word").agg(*by_class))
+    sums = [F.sum(f"n{c}").alias(f"all{c}") for c in (0, 1)]
+    kinds = [F.count(F.when(F.col(f"n{c}") > 0, 1)).alias(f"kinds{c}") for c in (0, 1)]
+    contexts = seen.groupBy("before").agg(*sums, *kinds)
+    continued = seen.groupBy("word").agg(F.count(F.lit(1)).alias("follows"))
+    total = max(seen.count(), 1)
+
+    def aside(c: int) -> Column:
+        return F.when(F.col(f"all{c}") > 0, DISCOUNT * F.col(f"kinds{c}") / F.col(f"all{c}")).otherwise(1.0)
+
+    def likely(c: int) -> Column:
+        own = F.when(F.col(f"all{c}") > 0, F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / F.col(f"all{c}")).otherwise(0.0)
+        return own + aside(c) * F.col("follows") / total
+
+    known = seen.join(contexts, "before").join(continued, "word")
+    ratios = settle(known.select("pair", F.log(likely(1) / likely(0)).cast("float").alias("ratio")))
+    return ratios, settle(contexts.select("before", F.log(aside(1) / aside(0)).cast("float").alias("back")))
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
-    """``log_ratio`` by leaf: toxic less ordinary log-probability of a word; then a logistic curve."""
+    """``log_ratio`` by leaf: toxic less ordinary log-probability of a word; the tables of pairs; a logistic curve."""
 
     log_ratio: np.ndarray
+    ratios: DataFrame
+    backs: DataFrame
     weights: np.ndarray
 
+    def pair_features(self, docs: DataFrame) -> DataFrame:
+        """``key, mean, clear``: of each text with a word (by its hash) the mean difference a pair and its clear part."""
+        rows = _pair_rows(docs.select("text", F.xxhash64("text").alias("key")), "key", "long").drop("word")
+        met = rows.join(self.ratios.hint("merge"), "pair", "left").join(self.backs.hint("merge"), "before", "left")
+        ratio = F.coalesce("ratio", "back", F.lit(0.0))
+        # Repeated texts add to both sums alike.
+        parts = met.groupBy("key").agg(
+            F.sum("n").alias("n"), F.sum(ratio * F.col("n")).alias("whole"), F.sum(F.greatest(ratio - CLEAR, F.lit(0.0)) * F.col("n")).alias("part")
+        )
+        return parts.select("key", (F.col("whole") / F.col("n")).alias("mean"), (F.col("part") / F.col("n")).alias("clear"))
+
+    def all_features(self, docs: DataFrame, name: str, ddl: str) -> DataFrame:
+        """``name`` and ``features`` of every row: those of the tree, and of the pairs."""
+        log_ratio = self.log_ratio
+        single = ToxicityModel(log_ratio, None, None, None)
+
+        def features(batch: pa.RecordBatch) -> dict:
+            return {name: batch.column(name), "key": batch.column("key"), "tree": [single.features(t) for t in texts(batch)]}
+
+        keyed = docs.select(name, "text", F.xxhash64("text").alias("key"))
+        trees = per_batch(keyed, features, f"{name} {ddl}, key long, tree array<float>")
+        both = trees.join(self.pair_features(docs).hint("merge"), "key", "left")
+        pair = F.array(F.coalesce("mean", F.lit(0.0)), F.coalesce("clear", F.lit(0.0))).cast("array<float>")
+        return both.select(name, F.concat("tree", pair).alias("features"))
+
     def features(self, text: bytes | None) -> list[float]:
         """Mean difference per word, mean of its clear part (scaled), and the log of the length."""
         found = self.log_ratio[cells(text)]
@@ -152,13 +237,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> ToxicityMo
     aside = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(8)) == 0
     # Labels grow with the data: the same join at every size.
     counted = docs.join(labels.where(~aside).hint("merge"), "doc_id")
-    model = ToxicityModel(kneser_ney(_counts(counted)).astype(np.float32), np.zeros(4))
-
-    def features(batch: pa.RecordBatch) -> dict:
-        return {"toxic": batch.column("toxic"), "features": [model.features(t) for t in texts(batch)]}
-
+    model = ToxicityModel(kneser_ney(_counts(counted)).astype(np.float32), *pair_ratios(counted), np.zeros(6))
     sample = bounded_sample(labels.where(aside), "toxic", "doc_id", per_class)
-    rows = per_batch(docs.join(F.broadcast(sample), "doc_id"), features, "toxic int, features array<float>").toPandas()
+    rows = model.all_features(docs.join(F.broadcast(sample), "doc_id"), "toxic", "int").toPandas()
     if rows.toxic.nunique() < 2:
         return model
     x = np.array(rows.features.tolist(), float)
@@ -168,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> ToxicityMo
     shares = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     kept = {c: (y == c).sum() for c in (0, 1)}
     weights[-1] += np.log(shares[1] / kept[1]) - np.log(shares[0] / kept[0])
-    return ToxicityModel(model.log_ratio, weights)
+    return ToxicityModel(model.log_ratio, model.ratios, model.backs, weights)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -179,11 +260,13 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     looked at.
     """
 
+    weights = model.weights
+
     def answer(batch: pa.RecordBatch) -> dict:
-        x = np.array([[*model.features(t), 1.0] for t in texts(batch)])
-        return {"doc_id": batch.column("doc_id"), "score": 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))}
+        x = np.array([[*f, 1.0] for f in batch.column("features").to_pylist()])
+        return {"doc_id": batch.column("doc_id"), "score": 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))}
 
-    return per_batch(docs.select("doc_id", "text"), answer, "doc_id long, score double")
+    return per_batch(model.all_features(docs, "doc_id", "long"), answer, "doc_id long, score double")
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, held: int = 2) -> DataFrame:

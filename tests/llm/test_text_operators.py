@@ -189,6 +189,22 @@ def test_kneser_ney_tells_by_prefix():
     assert len(toxicity.cells(None)) == 0 and len(toxicity.cells(b" 12 .")) == 0
 
 
+def test_toxic_expressions_of_ordinary_words(spark):
+    """Word order tells, where single words do not; against Kneser-Ney by hand."""
+    rows = [(i, ("dog man " if i % 2 else "man dog ") * 5, i % 2) for i in range(400)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    texts = spark.createDataFrame([("a b a c", 0), ("a c c", 1)], "text string, toxic int")
+    ratios, backs = toxicity.pair_ratios(texts)
+    hashes = {p: int(toxicity.pairs(p.encode())[0].view(np.int64)[1]) for p in ("a b", "a c", "c c")}
+    found = {r.pair: r.ratio for r in ratios.collect()}
+    # Pairs: start a, a b, b a, a c, c c; so c follows two of five, b one.
+    by_hand = {"a b": (0.75 / 5) / (0.25 / 2 + 0.75 / 5), "a c": (0.25 + 0.75 * 2 / 5) / (0.25 / 2 + 0.75 * 2 / 5), "c c": (0.25 + 0.75 * 2 / 5) / (2 / 5)}
+    assert len(found) == 5 and all(abs(found[hashes[p]] - np.log(v)) < 1e-5 for p, v in by_hand.items())
+    assert backs.count() == 4
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert all((scores[i] > 0.5) == bool(t) for i, _, t in rows)
+
+
 def test_languages_are_told_apart(spark):
     letters = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "ver"], "cc": ["ção", "nh", "lhe"]}
     draw, rows = random.Random(2), []
