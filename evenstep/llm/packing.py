@@ -1,8 +1,8 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
 Rounds of residual packing: every task packs its items best-fit, longest first; bins that are nearly full
-leave, the others go on as items of the next round, dealt out anew over fewer tasks, until one task would hold
-them or no round is left. A bin carries its members, at most one per token of its length, so no lookup is needed
+leave, the others go on as items of the next round, dealt out anew over fewer tasks, until one task holds
+them or a round joins none. A bin carries its members, at most one per token of its length, so no lookup is needed
 when it leaves.
 """
 
@@ -154,12 +154,12 @@ def _round(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         yield out.slice(start, 4096)
 
 
-def pack(items: DataFrame, length: int = LENGTH, open_below: float = 0.995, per_task: int = 200_000, rounds: int = 4) -> DataFrame:
+def pack(items: DataFrame, length: int = LENGTH, open_below: float = 0.995, per_task: int = 200_000) -> DataFrame:
     """``uid, sequence_id, offset`` for ``items`` (``uid`` unique, ``length`` from 1 to ``length``).
 
     A bin filled to ``open_below`` of ``length`` leaves after the round that filled it; the rest meet again, at
-    most about ``per_task`` of them in a task. The number of tasks shrinks from round to round, and the last round
-    has one task if so many bins fit into one. Nothing is dropped: what is open at the end leaves as it is.
+    most about ``per_task`` of them in a task. Rounds go on until one task has packed what is left, or a round no
+    longer lowers the number of bins. Nothing is dropped: what is open at the end leaves as it is.
     The number of a sequence is the ``uid`` of its first item.
     """
     bins = items.select(
@@ -169,15 +169,16 @@ def pack(items: DataFrame, length: int = LENGTH, open_below: float = 0.995, per_
     )
     full = F.col("fill") >= int(open_below * length)
     finished, tasks = [], None
-    for _ in range(rounds):
-        waiting = bins.count()
-        if not waiting or tasks == 1:
-            break
+    waiting = bins.count()
+    while waiting and tasks != 1:
         fewest = -(-waiting // per_task)
         tasks = max(fewest, -(-tasks // 4)) if tasks else fewest
         packed = settle(bins.repartition(tasks).mapInArrow(lambda batches: _round(batches, length), BIN))
         finished.append(packed.where(full))
         bins = packed.where(~full)
+        before, waiting = waiting, bins.count()
+        if waiting + finished[-1].count() == before:
+            break
     for done in finished:
         bins = bins.unionByName(done)
     return bins.mapInArrow(_members, MEMBER)

@@ -21,7 +21,7 @@ from evenstep.llm import quality_classifier, quality_rules, toxicity
 from evenstep.llm.byte_bpe import decode, digests, encode
 from evenstep.llm.common import bounded_sample
 from evenstep.llm.language_id import held_out_identification
-from evenstep.llm.packing import best_fit, packed_documents
+from evenstep.llm.packing import best_fit, pack, packed_documents
 from evenstep.llm.pretokens import pretokens
 from llm_cases import CLASHING, prose
 
@@ -97,6 +97,11 @@ def test_best_fit_takes_the_fullest_bin_with_room():
     assert np.bincount(bins, sizes).max() <= 100 and bins.max() + 1 <= 1.02 * sizes.sum() / 100
 
 
+def test_packing_goes_on_while_bins_can_be_joined(spark):
+    packed = pack(spark.range(400).selectExpr("id as uid", "1L as length"), 100, per_task=2).collect()
+    assert len(packed) == 400 and len({r.sequence_id for r in packed}) <= 8
+
+
 def _rules_by_hand(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
