@@ -16,6 +16,7 @@ from evenstep.llm.packing import packed_documents
 from evenstep.llm.quality_rules import judge, judged_sql
 from evenstep.llm.substring_dedup import repeated_passages
 from evenstep.llm.url_filters import JUDGED_PAGES_SQL, judged_pages
+from evenstep.llm.warc import ARCHIVED_PAGES_SQL, archived_pages
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -78,9 +83,11 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_url_filters": op9_url_filters,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op12_warc": op12_warc,
 }
 
 LLM_ORACLES: dict[str, str] = {
     "op4_quality_rules": judged_sql(),
     "op9_url_filters": JUDGED_PAGES_SQL,
+    "op12_warc": ARCHIVED_PAGES_SQL,
 }
