@@ -79,6 +79,7 @@ def schema_of(ddl: str) -> pa.Schema:
         "array<int>": pa.list_(pa.int32()),
         "array<long>": pa.list_(pa.int64()),
         "array<float>": pa.list_(pa.float32()),
+        "array<string>": pa.list_(pa.string()),
     }
     return pa.schema([(name, kinds[kind]) for name, kind in (field.split() for field in ddl.split(", "))])
 

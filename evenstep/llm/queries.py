@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from evenstep.llm import quality_classifier, toxicity
+from evenstep.llm.alignment import aligned
 from evenstep.llm.byte_bpe import decode, digests, encode
 from evenstep.llm.language_id import held_out_identification
+from evenstep.llm.lexical import RANKED_SQL, search
 from evenstep.llm.near_dedup import near_duplicates
 from evenstep.llm.nearest import nearest
 from evenstep.llm.packing import packed_documents
@@ -68,10 +70,19 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return aligned(_documents(spark, sf_dir), paths[0], public_tokenizers.PATTERN, paths[1])
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -83,11 +94,14 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_url_filters": op9_url_filters,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_token_alignment": op11_token_alignment,
     "op12_warc": op12_warc,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 LLM_ORACLES: dict[str, str] = {
     "op4_quality_rules": judged_sql(),
     "op9_url_filters": JUDGED_PAGES_SQL,
     "op12_warc": ARCHIVED_PAGES_SQL,
+    "op13_lexical_search": RANKED_SQL,
 }
