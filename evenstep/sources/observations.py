@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType, StringType, StructField, StructType
 
 from evenstep.errors import DataSourceError
@@ -34,6 +37,7 @@ MISSING_TEXTS = (
 
 
 _SURPLUS = "_surplus"
+_PACKING = "spark.sql.files.openCostInBytes"
 
 
 def require_source_columns(columns: list[str], needed: list[str], source: str) -> None:
@@ -69,8 +73,8 @@ def observations(
 ) -> DataFrame:
     """Rename and cast any DataFrame to ``[series_id, ts, value]`` plus ``keep``.
 
-    Reads only the named columns. Does not sort, deduplicate or validate. Without ``series`` the whole
-    frame is one series named ``all``.
+    Only the named columns are read, and rows pass one by one: their order, repeats and gaps are for later
+    operators. Without ``series`` the whole frame is one series named ``all``.
     """
     needed = [ts, value, *keep] + ([series] if isinstance(series, str) else [])
     require_source_columns(df.columns, needed, source)
@@ -85,6 +89,40 @@ def observations(
     )
 
 
+def _first_lines(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Header line to the files that begin with it.
+
+    Every split of a file becomes a task of its own, which reads one batch of lines and stops; the first split's
+    first line that is not blank is the header. The driver gets a line and a name for each file, which it lists anyway.
+    """
+
+    def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, at, line in zip(*(batch.column(c).to_pylist() for c in ("file", "at", "value"))):
+                if at:
+                    return
+                if line.strip():
+                    yield pa.RecordBatch.from_pydict({"file": [file], "header": [line.lstrip("\ufeff").rstrip("\r")]})
+                    return
+
+    before = spark.conf.get(_PACKING)
+    # A file that is this dear to open shares its task with no other.
+    spark.conf.set(_PACKING, str(1 << 40))
+    try:
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+        found = lines.mapInArrow(leading, "file string, header string").collect()
+    finally:
+        spark.conf.set(_PACKING, before)
+    by_header: dict[str, list[str]] = {}
+    for row in found:
+        by_header.setdefault(row.header, []).append(row.file)
+    return by_header
+
+
+def _headed(spark: SparkSession) -> DataFrameReader:
+    return spark.read.option("header", True).option("escape", '"')
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -95,21 +133,34 @@ def read_csv(
 ) -> DataFrame:
     """A headed CSV file or folder as a panel. Types are set here, not inferred from a second scan.
 
-    A row with more fields than the header fails the query; one with fewer lacks its last values.
+    Each file is read by its own header: files are grouped by their header line, and each group is one read that
+    takes the named columns, wherever they stand. A file whose header lacks one of them is refused by name. A row with more fields
+    than its header fails the query; one with fewer lacks its last values.
     """
-    reader = spark.read.option("header", True).option("escape", '"')
+    path = str(path)
     try:
-        header = reader.csv(str(path)).columns
+        by_header = _first_lines(spark, path)
     except AnalysisException as cause:
         raise DataSourceError(f"no readable CSV at {path}: {cause.getCondition()}") from cause
-    # One column more than the header has catches the first field too many.
-    fields = StructType([StructField(name, StringType()) for name in [*header, _SURPLUS]])
-    raw = reader.schema(fields).csv(str(path))
-    complaint = F.concat(F.lit(f"{path}: a row has more fields than the header, from: "), F.col(_SURPLUS))
-    whole = F.when(F.col(_SURPLUS).isNotNull(), F.raise_error(complaint).cast("string")).otherwise(F.col(f"`{ts}`"))
-    if ts in header:
-        raw = raw.withColumn(ts, whole)
-    return observations(raw.drop(_SURPLUS), ts, value, series, keep, source=str(path))
+    if not by_header:
+        raise DataSourceError(f"no CSV with a header at {path}")
+    panels = []
+    for header, files in sorted(by_header.items()):
+        names = _headed(spark).csv(spark.sparkContext.parallelize([header], 1)).columns
+        needed = [ts, value, *keep] + ([series] if series else [])
+        require_source_columns(names, needed, path if len(by_header) == 1 else sorted(files)[0])
+        # One column more than the header has catches the first field too many.
+        fields = StructType([StructField(name, StringType()) for name in [*names, _SURPLUS]])
+        raw = _headed(spark).schema(fields).csv(path)
+        if len(by_header) > 1:
+            raw = raw.where(F.col("_metadata.file_path").isin(files))  # prunes files before they are read
+        complaint = F.concat(F.lit(f"{path}: a row has more fields than the header, from: "), F.col(_SURPLUS))
+        whole = F.when(F.col(_SURPLUS).isNotNull(), F.raise_error(complaint).cast("string")).otherwise(F.col(f"`{ts}`"))
+        panels.append(observations(raw.withColumn(ts, whole).drop(_SURPLUS), ts, value, series, keep, source=path))
+    whole = panels[0]
+    for panel in panels[1:]:
+        whole = whole.unionByName(panel)
+    return whole
 
 
 def read_table(

@@ -90,3 +90,42 @@ def test_stamp_must_be_a_wall_clock(spark):
     df = spark.sql("select 'a' series_id, timestamp'2020-01-01 00:00:00' ts, 1D value")
     with pytest.raises(DataSourceError, match="timestamp_ntz"):
         clean(df)
+
+
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    write(tmp_path / "a b.csv", "Datetime,LOAD,OTHER\n2020-01-01 00:00:00,1,100\n")
+    write(tmp_path / "b[1].csv", "\nDatetime,OTHER,LOAD\n2020-01-01 01:00:00,200,2\n")
+    write(tmp_path / "c.csv", '"LOAD","extra, quoted",Datetime,OTHER\n3,x,2020-01-01 02:00:00,300\n')
+    write(tmp_path / "d.csv", "Datetime,LOAD,OTHER\n2020-01-01 03:00:00,4,400\n")
+    (tmp_path / "empty.csv").touch()
+    got = read_csv(spark, str(tmp_path), "Datetime", "LOAD", keep=("OTHER",)).collect()
+    assert sorted((r.ts.hour, r.value, r.OTHER) for r in got) == [(0, 1.0, "100"), (1, 2.0, "200"), (2, 3.0, "300"), (3, 4.0, "400")]
+
+
+def test_a_file_that_lacks_a_column_is_named(spark, tmp_path):
+    write(tmp_path / "a.csv", "Datetime,LOAD\n2020-01-01,1\n")
+    write(tmp_path / "odd.csv", "Datetime,POWER\n2020-01-02,2\n")
+    with pytest.raises(DataSourceError, match=r"odd.csv lacks.*\['LOAD'\]"):
+        read_csv(spark, str(tmp_path), "Datetime", "LOAD")
+
+
+def test_surplus_fields_are_counted_against_the_own_header(spark, tmp_path):
+    write(tmp_path / "a.csv", "Datetime,LOAD\n2020-01-01,1\n")
+    write(tmp_path / "b.csv", "LOAD,Datetime,extra\n2,2020-01-02,x\n")
+    assert read_csv(spark, str(tmp_path), "Datetime", "LOAD").count() == 2
+    write(tmp_path / "c.csv", "Datetime,LOAD\n2020-01-03,1,2\n")
+    with pytest.raises(PySparkException, match="more fields"):
+        read_csv(spark, str(tmp_path), "Datetime", "LOAD").collect()
+
+
+def test_only_the_beginning_of_files_is_read_for_headers(spark, tmp_path):
+    """A long file's later splits end after a batch; their lines are no headers."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        write(tmp_path / "a.csv", "Datetime,LOAD\n" + "".join(f"2020-01-01 00:00:{i % 60:02d},{i}\n" for i in range(1000)))
+        write(tmp_path / "b.csv", "LOAD,Datetime\n" + "".join(f"{i},2020-01-01 00:00:{i % 60:02d}\n" for i in range(1000, 2000)))
+        got = read_csv(spark, str(tmp_path), "Datetime", "LOAD")
+        assert (got.count(), got.agg({"value": "sum"}).first()[0]) == (2000, sum(range(2000)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
