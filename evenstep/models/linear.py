@@ -1,4 +1,9 @@
-"""Least squares per series, one output per step ahead, from distributed cross-product sums."""
+"""Least squares per series, one output per step ahead, by a QR decomposition merged in a tree.
+
+The triangle of a tall matrix stands for all its rows: stacking the triangles of its parts and decomposing the stack
+gives the triangle of the whole. So each task sends a triangle of features by features, whatever it read, and the
+condition of the problem is never squared, as it would be by cross products.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +23,10 @@ from evenstep.sources.storage import settle
 _SALTS = 64
 #: Series whose sums one task holds before passing them on.
 _HELD = 2_048
+#: Singular values below this share of the largest are taken for 0.
 _RANK_TOLERANCE = 1e-12
+#: Rows that a task gathers before it reduces them to a triangle.
+_TALL = 8_192
 
 # The functions below that run in Python workers travel by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -37,26 +45,22 @@ class LinearForecaster:
         absent = sorted(set(self.features) - set(frame.columns))
         if absent:
             raise ForecastError(f"cannot predict: feature(s) {absent} absent")
-        # Written as text: a roster-sized forecast has some five hundred terms, and each built as a Column costs
-        # far more on the driver than parsing all of them.
-        width = len(self.features)
-        steps = []
-        for h in range(self.horizon):
-            terms = [f"_weights[{h * width + i}] * `{name}`" for i, name in enumerate(self.features)]
-            steps.append(F.expr(" + ".join([f"_intercept[{h}]", *terms])))
-        flat = self.coefficients.select(
-            SERIES, F.col("intercept").alias("_intercept"), F.flatten("weights").alias("_weights")
+        # One product of a matrix and a vector over arrays: spelt out, five hundred terms outgrow a compiled method.
+        row = F.array(*[F.col(f"`{name}`").cast("double") for name in self.features])
+        steps = F.expr(
+            "transform(_weights, (w, h) -> aggregate(zip_with(w, _row, (a, b) -> a * b), _intercept[h], (total, term) -> total + term))"
         )
-        return join_on(frame, flat, [SERIES], "left").withColumn(YHAT, F.array(*steps)).drop("_intercept", "_weights")
+        known = self.coefficients.select(SERIES, F.col("intercept").alias("_intercept"), F.col("weights").alias("_weights"))
+        joined = join_on(frame, known, [SERIES], "left").withColumn("_row", row)
+        return joined.withColumn(YHAT, steps).drop("_intercept", "_weights", "_row")
 
 
 def fit_linear(train: DataFrame, features: Sequence[str] | None = None, horizon: int = 24) -> LinearForecaster:
     """Fit ``y`` on the features, one model per series, ordinary least squares with an intercept.
 
-    Pass a stored frame: it is read twice. The first pass takes means and deviations, the second adds up
-    cross products of standardised columns, whose condition is far better than that of raw ones. Each task
-    sums its own rows with a matrix product, sums of one series meet in two salted rounds, and the solve
-    sees a matrix of features by features only, on whichever task holds it.
+    Pass a stored frame: it is read twice. The first pass takes means and deviations, the second reduces
+    standardised rows to triangles in each task; triangles of one series meet in two salted rounds, and the solve
+    sees one triangle, on whichever task holds it. Of equally good solutions the one of least norm is taken.
     """
     names = list(features) if features is not None else feature_columns(train)
     p = len(names)
@@ -77,10 +81,10 @@ def fit_linear(train: DataFrame, features: Sequence[str] | None = None, horizon:
     centred = [f"{Y}[{h}] - y_mean[{h}] AS y{h}" for h in range(horizon)]
     rows = join_on(train, moments, [SERIES]).selectExpr(SERIES, *standard, *centred)
 
-    sums = f"{SERIES} string, n bigint, xx array<double>, xy array<double>"
-    partial = rows.mapInPandas(lambda batches: _cross_products(batches, p), sums)
+    triangle = f"{SERIES} string, triangle array<double>"
+    partial = rows.mapInPandas(lambda batches: _triangles(batches, p), triangle)
     salted = partial.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(_SALTS)))
-    halfway = salted.groupBy(SERIES, "_salt").applyInPandas(_add_up, sums)
+    halfway = salted.groupBy(SERIES, "_salt").applyInPandas(lambda group: _merged(group, p, horizon), triangle)
     solved = join_on(halfway, moments, [SERIES]).groupBy(SERIES).applyInPandas(
         lambda group: _solve(group, p, horizon),
         f"{SERIES} string, intercept array<double>, weights array<array<double>>",
@@ -88,60 +92,56 @@ def fit_linear(train: DataFrame, features: Sequence[str] | None = None, horizon:
     return LinearForecaster(names, horizon, settle(solved))
 
 
-def _cross_products(batches: Iterator[pd.DataFrame], p: int) -> Iterator[pd.DataFrame]:
-    held: dict[str, list] = {}
+def _reduced(rows: np.ndarray, p: int) -> np.ndarray:
+    """The first ``p`` rows of the triangle of ``rows`` (features, then outputs); all that the solution depends on."""
+    return np.linalg.qr(rows, mode="r")[:p]
+
+
+def _triangles(batches: Iterator[pd.DataFrame], p: int) -> Iterator[pd.DataFrame]:
+    held: dict[str | None, list[np.ndarray]] = {}
+    waiting: dict[str | None, int] = {}
+
+    def gathered() -> pd.DataFrame:
+        return pd.DataFrame({SERIES: list(held), "triangle": [_reduced(np.vstack(m), p).ravel() for m in held.values()]})
+
     for batch in batches:
         matrix = batch.iloc[:, 1:].to_numpy(dtype=float)
         for series, rows in batch.groupby(SERIES, sort=False, dropna=False).indices.items():
             series = None if pd.isna(series) else series
-            block = matrix[rows]
-            product = block[:, :p].T @ block
-            if series in held:
-                held[series][0] += len(rows)
-                held[series][1] += product
-            else:
-                held[series] = [len(rows), product]
-        if len(held) > _HELD:
-            yield _as_rows(held, p)
-            held = {}
+            held.setdefault(series, []).append(matrix[rows])
+            waiting[series] = waiting.get(series, 0) + len(rows)
+            if waiting[series] >= _TALL:
+                held[series] = [_reduced(np.vstack(held[series]), p)]
+                waiting[series] = 0
+        if len(held) > _HELD or sum(waiting.values()) > 8 * _TALL:
+            yield gathered()
+            held, waiting = {}, {}
     if held:
-        yield _as_rows(held, p)
+        yield gathered()
 
 
-def _as_rows(held: dict[str, list], p: int) -> pd.DataFrame:
-    return pd.DataFrame(
-        {
-            SERIES: list(held),
-            "n": [n for n, _ in held.values()],
-            "xx": [m[:, :p].ravel() for _, m in held.values()],
-            "xy": [m[:, p:].ravel() for _, m in held.values()],
-        }
-    )
+def _stacked(group: pd.DataFrame, p: int, horizon: int) -> np.ndarray:
+    return _reduced(np.concatenate(group["triangle"].to_list()).reshape(-1, p + horizon), p)
 
 
-def _add_up(group: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame(
-        {
-            SERIES: [group[SERIES].iloc[0]],
-            "n": [int(group["n"].sum())],
-            "xx": [np.sum(group["xx"].to_list(), axis=0)],
-            "xy": [np.sum(group["xy"].to_list(), axis=0)],
-        }
-    )
+def _merged(group: pd.DataFrame, p: int, horizon: int) -> pd.DataFrame:
+    return pd.DataFrame({SERIES: [group[SERIES].iloc[0]], "triangle": [_stacked(group, p, horizon).ravel()]})
 
 
 def _solve(group: pd.DataFrame, p: int, horizon: int) -> pd.DataFrame:
     first = group.iloc[0]
     x_mean, x_std, y_mean = (np.asarray(first[c], dtype=float) for c in ("x_mean", "x_std", "y_mean"))
-    xx = np.sum(group["xx"].to_list(), axis=0).reshape(p, p)
-    xy = np.sum(group["xy"].to_list(), axis=0).reshape(p, horizon)
-    values, vectors = np.linalg.eigh(xx)
-    kept = values > _RANK_TOLERANCE * max(values.max(initial=0.0), 1.0)
-    inverse = np.divide(1.0, values, out=np.zeros_like(values), where=kept)
+    triangle = _stacked(group, p, horizon)
+    left, values, right = np.linalg.svd(triangle[:, :p], full_matrices=True)
+    size = np.zeros(p)
+    size[: len(values)] = values
+    kept = size > _RANK_TOLERANCE * max(size.max(initial=0.0), np.finfo(float).tiny)
     scale = np.where(x_std > 0, x_std, 1.0)[:, None]
-    weights = (vectors * inverse) @ (vectors.T @ xy) / scale
+    count = int(kept.sum())
+    turned = (left[:, :count].T @ triangle[:, p:]) / size[:count, None]
+    weights = right[:count].T @ turned / scale
     # Of all equally good solutions take the one of least norm in the units of the columns.
-    free = vectors[:, ~kept] / scale
+    free = right[count:].T / scale
     if free.shape[1]:
         weights -= free @ (np.linalg.pinv(free) @ weights)
     intercept = y_mean - x_mean @ weights

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from evenstep.errors import NaiveModelError
 from evenstep.functions.stamps import floor_to, stamp_micros, step_micros
-from evenstep.operators.blocks import BLOCK, MICROS, block_steps, spread
+from evenstep.operators.blocks import BLOCK, MICROS, PHASE, block_steps, spread
 from evenstep.schema import SERIES, TS, VALUE, YHAT, require_panel, require_unique_stamps
 
 
@@ -46,26 +46,26 @@ def seasonal_naive(
     width = step * (steps_per_block or block_steps(season))
     micros = stamp_micros(TS)
 
-    asked = scored.withColumns(
-        {MICROS: micros, BLOCK: floor_to(micros, width), "_asked": F.lit(True), "_read": F.lit(None).cast("double")}
+    # Only stamps a whole number of steps apart can answer each other, hence the remainder in the key.
+    phase = F.pmod(F.col(MICROS), F.lit(step))
+    asked = scored.withColumn(MICROS, micros).withColumns(
+        {BLOCK: floor_to(micros, width), PHASE: phase, "_asked": F.lit(True), "_read": F.lit(None).cast("double")}
     )
     readers = F.sequence(
         floor_to(F.col(MICROS) + (season - horizon) * step, width),
         floor_to(F.col(MICROS) + (season - 1) * step, width),
     )
     held = series.select(SERIES, micros.alias(MICROS), F.col(VALUE).alias("_read")).select(
-        SERIES, MICROS, F.explode(readers).alias(BLOCK), F.lit(False).alias("_asked"), "_read"
+        SERIES, MICROS, F.explode(readers).alias(BLOCK), phase.alias(PHASE), F.lit(False).alias("_asked"), "_read"
     )
-    stacked = spread(asked.unionByName(held, allowMissingColumns=True), SERIES, BLOCK)
-    # Only stamps a whole number of steps apart can answer each other, hence the remainder in the key.
-    phase = F.pmod(F.col(MICROS), F.lit(step))
-    spec = Window.partitionBy(SERIES, BLOCK, phase).orderBy(MICROS)
+    stacked = spread(asked.unionByName(held, allowMissingColumns=True), SERIES, BLOCK, PHASE)
+    spec = Window.partitionBy(SERIES, BLOCK, PHASE).orderBy(MICROS)
     answer = F.collect_list("_read").over(spec.rangeBetween(-(season - 1) * step, -(season - horizon) * step))
     out = (
         stacked.withColumn(YHAT, answer)
         .where(F.col("_asked"))
         .withColumn(YHAT, F.when(F.size(YHAT) == horizon, F.col(YHAT)))
-        .drop(MICROS, BLOCK, "_asked", "_read")
+        .drop(MICROS, BLOCK, PHASE, "_asked", "_read")
     )
     if check:
         unanswered = out.agg(F.count_if(F.col(YHAT).isNull())).first()[0]

@@ -27,10 +27,27 @@ def rmse(frame: DataFrame, by: Sequence[str] = (), y: str = Y, yhat: str = YHAT)
     )
 
 
+def scores(frame: DataFrame, forecasts: dict[str, str], y: str = Y) -> DataFrame:
+    """``[model, n, unscored, rmse]`` of forecasts that stand side by side, model to column, in one pass over the rows.
+
+    Every task sends one row with all models' sums.
+    """
+    cells = []
+    for model, column in forecasts.items():
+        row_error = F.aggregate(_squared_errors(y, column), F.lit(0.0), lambda total, e: total + e)
+        scored = F.sum(F.when(row_error.isNotNull(), F.size(y)))
+        error = F.sqrt(F.sum(row_error) / scored).alias("rmse")
+        cells.append(F.struct(F.lit(model).alias("model"), scored.alias("n"), F.count_if(row_error.isNull()).alias("unscored"), error))
+    return frame.agg(F.array(*cells).alias("_cells")).select(F.inline("_cells"))
+
+
 def rmse_by_step(
     frame: DataFrame, horizon: int, by: Sequence[str] = (), y: str = Y, yhat: str = YHAT
 ) -> DataFrame:
-    """The same per step ahead. One partial row per task and group holds a sum for each step."""
+    """The same per step ahead. One partial row per task and group holds a sum for each step.
+
+    ``n`` counts the rows scored, ``rmse``'s ``unscored`` those that were not.
+    """
     def error(h: int) -> Column:
         gap = F.element_at(yhat, h) - F.element_at(y, h)
         return F.sum(gap * gap)

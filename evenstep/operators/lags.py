@@ -10,8 +10,20 @@ from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from evenstep.errors import FeatureError
 from evenstep.functions.calendar import with_frame_start
-from evenstep.functions.stamps import floor_to, stamp_micros, step_micros
-from evenstep.operators.blocks import BLOCK, GRIDDED, block_steps, home_rows, in_block, steps_between, to_blocks
+from evenstep.functions.stamps import step_micros
+from evenstep.operators.blocks import (
+    BLOCK,
+    GRIDDED,
+    MOST_ROWS,
+    TOTALS_BLOCK,
+    directory,
+    home_rows,
+    in_block,
+    rows_before,
+    spread,
+    steps_between,
+    to_blocks,
+)
 from evenstep.schema import FRAME_START, TS, VALUE, all_of, join_on, keys_of, require_panel, require_unique_stamps
 from evenstep.sources.storage import settle
 
@@ -172,7 +184,7 @@ def lag_disagreement(
     """
     require_panel(frame, FeatureError, target)
     micros, keys = step_micros(step), keys_of(frame)
-    timed = lag_features(frame, [lag], [], step, target, check=False)
+    timed = settle(lag_features(frame, [lag], [], step, target, check=False))  # counted, then numbered
     numbered = number_rows(timed.withColumnRenamed(f"lag_{lag}h", "_timed"), micros)
     # Positions are gap-free, so a chunk of positions plus a halo of `lag` positions is always enough.
     first = F.call_function("div", F.col("_row"), F.lit(rows_per_chunk))
@@ -184,20 +196,16 @@ def lag_disagreement(
     return compared.groupBy(*keys).agg(F.count("*").alias("rows"), F.count_if(differ).alias("disagreeing_rows"))
 
 
-def number_rows(frame: DataFrame, step: int, steps_per_block: int | None = None) -> DataFrame:
+def number_rows(
+    frame: DataFrame, step: int, steps_per_block: int = TOTALS_BLOCK, most_rows: int = MOST_ROWS
+) -> DataFrame:
     """Add ``_row``, the exact zero-based position in time within the slice, without a sort per slice."""
     keys = keys_of(frame)
-    blocked = to_blocks(frame, step, steps_per_block=steps_per_block)
-    # Counted where the rows are read: a row per block and task is shuffled, not every row.
-    width = step * (steps_per_block or block_steps(0))
-    where = frame.select(*keys, floor_to(stamp_micros(TS), width).alias(BLOCK))
-    counted = settle(where.groupBy(*keys, BLOCK).agg(F.count("*").alias("_rows")))
-    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.select(*keys, BLOCK, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(in_block(blocked)) - 1
-    return home_rows(
-        join_on(blocked, offsets, [*keys, BLOCK]).withColumn("_row", F.col("_before") + inside).drop("_before")
-    )
+    blocks = directory(frame, keys, step, TS, steps_per_block, most_rows)
+    offsets = rows_before(blocks.counts, keys).select(*keys, BLOCK, "_before")
+    inside = F.row_number().over(Window.partitionBy(*keys, BLOCK).orderBy(TS)) - 1
+    placed = spread(blocks.place(frame), *keys, BLOCK).withColumn("_inside", inside)
+    return join_on(placed, offsets, [*keys, BLOCK]).withColumn("_row", F.col("_before") + F.col("_inside")).drop("_before", "_inside", BLOCK)
 
 
 def feature_audit(features: DataFrame) -> DataFrame:

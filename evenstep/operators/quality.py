@@ -123,33 +123,37 @@ def validate(series: DataFrame, **limits) -> DataFrame:
     return report
 
 
+def arrival_parts(raw: DataFrame, order: list[str], rows_per_chunk: int = 65_536) -> DataFrame:
+    """Numbered rows cut into parts of about equal size along (series, arrival, stamp), each with its number ``_part``.
+
+    The cuts are points of the whole order, not of the first number alone, so rows that share one number are spread
+    as well. Stored, so that a part stays what it is however often it is read.
+    """
+    parts = max(1, -(-raw.select(order[0]).count() // rows_per_chunk))
+    ranged = raw.repartitionByRange(parts, SERIES, *order, TS)
+    return settle(ranged.withColumn("_part", F.spark_partition_id()))
+
+
 def late_arrivals(raw: DataFrame, order: list[str], rows_per_chunk: int = 65_536) -> DataFrame:
     """Every row with ``late``: whether its stamp lies before one that arrived earlier in its series.
 
     ``order`` names the arrival order, its first column being a whole number; rows that tie in it arrived
     together and are not late against each other. A row without that number has no place in the order: its
-    ``late`` is null and it makes no other row late. Arrival is cut into chunks of the number's range, as
-    wide as each series needs for about ``rows_per_chunk`` rows in a chunk; the running maximum is taken inside
-    each chunk and over the chunk maxima, so a series with a large share of all rows is never ordered in
-    one task (unless all its rows share one number).
+    ``late`` is null and it makes no other row late. The running maximum is taken inside parts of about ``rows_per_chunk``
+    rows (``arrival_parts``) and over the maxima of the parts, so no series is ordered in one task, even when
+    all its rows arrived at one number.
     """
     require_panel(raw, DataValidationError, target=order[0])
-    number = F.col(order[0]).cast("bigint")
-    extent = raw.groupBy(SERIES).agg(F.min(number).alias("_low"), F.max(number).alias("_high"), F.count(number).alias("_n"))
-    span = (F.col("_high") - F.col("_low") + 1).cast("double")
-    widths = extent.select(SERIES, "_low", F.greatest(F.ceil(span * rows_per_chunk / F.col("_n")), F.lit(1)).alias("_width"))
-    placed = F.call_function("div", number - F.col("_low"), F.col("_width"))
-    chunked = join_on(raw, settle(widths), [SERIES]).withColumn("_chunk", placed).drop("_low", "_width")
-    tops = chunked.where(F.col("_chunk").isNotNull()).groupBy(SERIES, "_chunk").agg(F.max(TS).alias("_top"))
-    earlier_chunks = Window.partitionBy(SERIES).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    earlier_rows = Window.partitionBy(SERIES, "_chunk").orderBy(*order, TS).rowsBetween(Window.unboundedPreceding, -1)
-    before = tops.select(SERIES, "_chunk", F.max("_top").over(earlier_chunks).alias("_before"))
-    # Rows without a number are answered as they are, so that they do not gather in one window.
-    numbered = join_on(chunked.where(F.col("_chunk").isNotNull()), before, [SERIES, "_chunk"])
+    numbered = F.col(order[0]).cast("bigint").isNotNull()
+    parts = arrival_parts(raw.where(numbered), order, rows_per_chunk)
+    tops = parts.groupBy(SERIES, "_part").agg(F.max(TS).alias("_top"))
+    earlier_parts = Window.partitionBy(SERIES).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier_rows = Window.partitionBy(SERIES, "_part").orderBy(*order, TS).rowsBetween(Window.unboundedPreceding, -1)
+    before = tops.select(SERIES, "_part", F.max("_top").over(earlier_parts).alias("_before"))
     seen = F.greatest(F.col("_before"), F.max(TS).over(earlier_rows))
-    judged = numbered.withColumn("late", F.coalesce(F.col(TS) < seen, F.lit(False)))
-    unnumbered = chunked.where(F.col("_chunk").isNull()).withColumn("late", F.lit(None).cast("boolean"))
-    return judged.drop("_chunk", "_before").unionByName(unnumbered.drop("_chunk"))
+    judged = join_on(parts, before, [SERIES, "_part"]).withColumn("late", F.coalesce(F.col(TS) < seen, F.lit(False)))
+    unnumbered = raw.where(~numbered).withColumn("late", F.lit(None).cast("boolean"))
+    return judged.drop("_part", "_before").unionByName(unnumbered)
 
 
 def arrival_disorder(raw: DataFrame, order: list[str], rows_per_chunk: int = 65_536) -> DataFrame:

@@ -57,5 +57,5 @@ def horizon_targets(
     blocked = to_blocks(with_frame_start(frame), step, 0, horizon, steps_per_block)
     out = home_rows(add_targets(blocked, horizon, step, target)).where(F.size(Y) == horizon)
     if check and out.isEmpty():
-        raise TargetError(f"no row has a gap-free future of {horizon} steps")
+        raise TargetError(f"no unbroken run has {horizon} steps after a row")
     return out if carried else out.drop(FRAME_START)

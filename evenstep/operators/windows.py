@@ -8,16 +8,8 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evenstep.errors import SequenceError
-from evenstep.functions.stamps import shift_stamp, step_micros
-from evenstep.operators.blocks import (
-    BLOCK,
-    HOME,
-    MICROS,
-    TOTALS_BLOCK,
-    home_rows,
-    in_block,
-    to_blocks,
-)
+from evenstep.functions.stamps import shift_stamp, stamp_micros, step_micros
+from evenstep.operators.blocks import BLOCK, HOME, MICROS, MOST_ROWS, PHASE, TOTALS_BLOCK, directory, spread, to_blocks
 from evenstep.schema import (
     TARGET_TS,
     TS,
@@ -32,37 +24,55 @@ from evenstep.schema import (
 from evenstep.sources.storage import settle
 
 
-def _starts_run(spec, step: int) -> Column:
-    """Whether the row before is not exactly one step back. Compares neighbours, not the grid."""
-    return F.coalesce(F.col(MICROS) - F.lag(MICROS).over(spec) != step, F.lit(True))
-
-
 def gap_segments(
-    frame: DataFrame, step: str | timedelta = "h", steps_per_block: int = TOTALS_BLOCK
+    frame: DataFrame,
+    step: str | timedelta = "h",
+    steps_per_block: int = TOTALS_BLOCK,
+    most_rows: int = MOST_ROWS,
 ) -> DataFrame:
     """Add ``segment``: 1 for the first unbroken run of each slice, one more after every break.
 
-    Breaks are counted per block, the counts are summed up in block order, and each row adds the breaks
-    inside its own block, so no slice is walked through in one task.
+    Rows are compared with the row before them inside blocks of at most ``most_rows`` rows. A block's first row is
+    compared with the last stamp of the blocks before, and each row adds the breaks so far in its block to those of earlier blocks, so
+    no slice is walked through in one task. The frame is read twice; pass a stored one.
     """
     require_panel(frame, SequenceError, target=TS)
     step, keys = step_micros(step), keys_of(frame)
-    blocked = to_blocks(frame, step, 1, 0, steps_per_block)
-    # A neighbour one step back is in the halo; a neighbour further back is a break either way.
-    starts = blocked.withColumn("_break", F.when(F.col(HOME), _starts_run(in_block(blocked), step).cast("bigint")))
-    so_far = F.sum("_break").over(in_block(blocked).rowsBetween(Window.unboundedPreceding, 0))
+    in_order = Window.partitionBy(*keys, BLOCK).orderBy(MICROS)
+    so_far = F.sum(F.when(F.col("_gap") != step, 1).otherwise(0)).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
     # Stored, since the totals of the blocks are needed before the first row is answered.
-    marked = settle(starts.withColumn("_so_far", so_far).where(F.col(HOME)))
-    per_block = marked.groupBy(*keys, BLOCK).agg(F.max("_so_far").alias("_breaks"))
+    marked = settle(_neighbours(frame, step, steps_per_block, most_rows).withColumn("_so_far", so_far))
+    breaks = F.count_if(F.coalesce(F.col("_gap") != step, F.lit(True)))
+    # The first row's gap reaches back into earlier blocks; it is a break of this block.
+    per_block = marked.groupBy(*keys, BLOCK).agg(breaks.alias("_breaks"), F.max("_opens").alias("_opens"))
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_block.select(*keys, BLOCK, F.coalesce(F.sum("_breaks").over(earlier), F.lit(0)).alias("_before"))
-    return home_rows(
+    before = F.coalesce(F.sum("_breaks").over(earlier), F.lit(0)) + F.col("_opens")
+    offsets = per_block.select(*keys, BLOCK, before.alias("_before"))
+    return (
         join_on(marked, offsets, [*keys, BLOCK])
         .withColumn("segment", (F.col("_before") + F.col("_so_far")).cast("bigint"))
-        .drop("_before", "_so_far", "_break")
+        .drop("_before", "_so_far", "_gap", "_opens", MICROS, BLOCK)
     )
 
 
+def _neighbours(frame: DataFrame, step: int, steps_per_block: int, most_rows: int) -> DataFrame:
+    """Add ``_micros``, ``_block``, ``_gap`` (microseconds to the row before, null for a slice's first) and ``_opens``.
+
+    ``_opens`` is 1 where the row is the first of its slice, else 0: the one break that no gap tells of.
+    """
+    keys = keys_of(frame)
+    blocks = directory(frame, keys, step, TS, steps_per_block, most_rows)
+    placed = blocks.place(frame).withColumn(MICROS, stamp_micros(TS))
+    ends = placed.groupBy(*keys, BLOCK).agg(F.max(MICROS).alias("_end"))
+    in_order = Window.partitionBy(*keys).orderBy(BLOCK)
+    last = ends.select(*keys, BLOCK, F.lag("_end").over(in_order).alias("_last"))
+    spec = Window.partitionBy(*keys, BLOCK).orderBy(MICROS)
+    joined = join_on(spread(placed, *keys, BLOCK), last, [*keys, BLOCK])
+    behind = F.coalesce(F.lag(MICROS).over(spec), F.col("_last"))
+    gaps = joined.withColumn("_gap", F.col(MICROS) - behind).drop("_last")
+    return gaps.withColumn("_opens", F.col("_gap").isNull().cast("int"))
+
+
 def segment_lengths(segments: DataFrame, sequence_length: int, horizon: int) -> DataFrame:
     """Per segment: rows, first and last stamp, windows it yields, and whether it is too short for any."""
     needed = sequence_length + horizon
@@ -75,18 +85,27 @@ def segment_lengths(segments: DataFrame, sequence_length: int, horizon: int) ->
     )
 
 
-def _mark_windows(blocked: DataFrame, length: int, step: int) -> DataFrame:
-    """Add ``_whole``: whether the row and the ``length - 1`` rows after it form one unbroken run.
+def _run_ends(frame: DataFrame, step: int, steps_per_block: int | None, most_rows: int) -> DataFrame:
+    """Add ``_micros`` and ``_run_end``, the last microsecond of the unbroken run that holds the row.
 
-    A running count of breaks tells it in constant time per row: the last row of the window exists and
-    no break was counted in between.
+    Inside a block a run ends before the next break, found walking backwards; a run that goes on beyond its block ends
+    before the first break of the blocks after, or with the slice. No row looks ahead farther than its block.
     """
-    spec = in_block(blocked)
-    breaks = F.sum("_break").over(spec.rowsBetween(Window.unboundedPreceding, 0))
-    flagged = blocked.withColumn("_break", _starts_run(spec, step).cast("bigint"))
-    counted = flagged.withColumn("_breaks", breaks)
-    whole = F.coalesce(F.lead("_breaks", length - 1).over(spec) == F.col("_breaks"), F.lit(False))
-    return counted.withColumn("_whole", whole).drop("_break", "_breaks")
+    keys = keys_of(frame)
+    stop = F.when(F.col("_gap") != step, F.col(MICROS) - F.col("_gap"))
+    backwards = Window.partitionBy(*keys, BLOCK).orderBy(F.desc(MICROS)).rowsBetween(Window.unboundedPreceding, -1)
+    near = _neighbours(frame, step, steps_per_block or TOTALS_BLOCK, most_rows)
+    marked = settle(near.withColumns({"_stop": F.min(stop).over(backwards), "_stops": stop}).drop("_gap", "_opens"))
+    per_block = marked.groupBy(*keys, BLOCK).agg(F.min("_stops").alias("_stops"), F.max(MICROS).alias("_end"))
+    later = Window.partitionBy(*keys).orderBy(F.desc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = F.coalesce(F.min("_stops").over(later), F.max("_end").over(Window.partitionBy(*keys)))
+    joined = join_on(marked.drop("_stops"), per_block.select(*keys, BLOCK, beyond.alias("_beyond")), [*keys, BLOCK])
+    return joined.withColumn("_run_end", F.coalesce("_stop", "_beyond")).drop("_stop", "_beyond", BLOCK)
+
+
+def _whole(length: int, step: int) -> Column:
+    """Whether the row and the ``length - 1`` rows after it are one unbroken run."""
+    return F.col("_run_end") - F.col(MICROS) >= (length - 1) * step
 
 
 def _require_windows(frame: DataFrame, sequence_length: int, horizon: int, target: str, check: bool) -> None:
@@ -113,14 +132,13 @@ def window_manifest(
 ) -> DataFrame:
     """One row per window: ``start_ts``, ``target_ts`` (first predicted stamp) and ``end_ts``.
 
-    Stamps only. This is the form to count, filter and split windows in; ``sequence_windows`` writes the
-    values out at about ``sequence_length`` times the size of its input.
+    Stamps only, each read once: a window begins where the run that holds a row goes on for long enough. This is the
+    form to count, filter and split windows in.
     """
     _require_windows(frame, sequence_length, horizon, TS, check)
     step, keys, length = step_micros(step), keys_of(frame), sequence_length + horizon
-    blocked = to_blocks(frame.select(*keys, TS), step, 0, length - 1, steps_per_block)
-    marked = _mark_windows(blocked, length, step)
-    out = marked.where(F.col(HOME) & F.col("_whole")).select(
+    stamps = settle(frame.select(*keys, TS))
+    out = _run_ends(stamps, step, steps_per_block, MOST_ROWS).where(_whole(length, step)).select(
         *keys,
         F.col(TS).alias("start_ts"),
         shift_stamp(TS, sequence_length * step).alias(TARGET_TS),
@@ -131,7 +149,7 @@ def window_manifest(
     return out
 
 
-def sequence_windows(
+def window_store(
     frame: DataFrame,
     sequence_length: int = 168,
     horizon: int = 24,
@@ -142,36 +160,80 @@ def sequence_windows(
     check: bool = True,
     steps_per_block: int | None = None,
 ) -> DataFrame:
-    """Windows with values: ``x ARRAY<ARRAY<FLOAT>>`` (steps by features) and ``y ARRAY<FLOAT>``.
+    """The windows of a frame in about the size of the frame: a row per block of rows, to be written and kept.
 
-    ``x`` holds every feature column, the target among them, over the first ``sequence_length`` rows; ``y``
-    the target over the ``horizon`` rows after. Write the result straight out rather than caching it.
+    ``stamps``, ``x ARRAY<ARRAY<FLOAT>>`` (rows by features) and ``y ARRAY<FLOAT>`` (the target) hold a block's rows once,
+    in time order; ``windows ARRAY<INT>`` the places where its windows begin. A window lies in one block: blocks are
+    so much longer than a window that at most about one row in sixteen is held twice. Rows in no window are left out.
+    ``expand_windows`` turns blocks into windows where they are read.
     """
     _require_windows(frame, sequence_length, horizon, target, check)
     step, keys, length = step_micros(step), keys_of(frame), sequence_length + horizon
     names = list(features) if features is not None else feature_columns(frame)
     needed = list(dict.fromkeys([*names, target]))
-    blocked = to_blocks(frame.select(*keys, TS, *needed), step, 0, length - 1, steps_per_block)
-    marked, spec = _mark_windows(blocked, length, step), in_block(blocked)
-    row = F.array(*[F.col(name).cast(dtype) for name in names])
-    lookback = F.collect_list(row).over(spec.rowsBetween(0, sequence_length - 1))
-    ahead = F.collect_list(F.col(target).cast(dtype)).over(spec.rowsBetween(sequence_length, length - 1))
-    out = (
-        marked.withColumns({"_x": lookback, "_y": ahead})
-        .where(F.col(HOME) & F.col("_whole"))
-        .select(
-            *keys,
-            F.col(TS).alias("start_ts"),
-            shift_stamp(TS, sequence_length * step).alias(TARGET_TS),
-            F.col("_x").alias("x"),
-            F.col("_y").alias("y"),
-        )
+    rows = _run_ends(settle(frame.select(*keys, TS, *needed)), step, steps_per_block, MOST_ROWS)
+    blocked = to_blocks(rows.drop(MICROS), step, 0, length - 1, steps_per_block)
+    row = F.struct(
+        MICROS,
+        TS,
+        F.array(*[F.col(name).cast(dtype) for name in names]).alias("x"),
+        F.col(target).cast(dtype).alias("y"),
+        (F.col(HOME) & _whole(length, step)).alias("begins"),
+    )
+    held = blocked.groupBy(*keys, BLOCK, PHASE).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    begins = F.transform("_rows", lambda r, at: F.when(r["begins"], at))
+    store = held.withColumn("windows", F.filter(begins, lambda at: at.isNotNull())).where(F.size("windows") > 0)
+    # What lies before a block's first window or behind its last one is in none of its windows.
+    first = F.array_min("windows")
+    store = store.withColumn("_rows", F.slice("_rows", first + 1, F.array_max("windows") - first + length))
+    out = store.select(
+        *keys,
+        F.col("_rows.ts").alias("stamps"),
+        F.col("_rows.x").alias("x"),
+        F.col("_rows.y").alias("y"),
+        F.transform("windows", lambda at: at - first).alias("windows"),
     )
     if check:
+        out = settle(out)
         _refuse_empty(out, sequence_length, horizon)
     return out
 
 
+def expand_windows(store: DataFrame, sequence_length: int = 168, horizon: int = 24, step: str | timedelta = "h") -> DataFrame:
+    """Windows with values of a ``window_store`` made for the same lengths; see ``sequence_windows``."""
+    step, keys = step_micros(step), keys_of(store)
+    placed = store.select(*keys, "stamps", "x", "y", F.explode("windows").alias("_at"))
+    start = F.get("stamps", F.col("_at"))
+    return placed.select(
+        *keys,
+        start.alias("start_ts"),
+        shift_stamp(start, sequence_length * step).alias(TARGET_TS),
+        F.slice("x", F.col("_at") + 1, sequence_length).alias("x"),
+        F.slice("y", F.col("_at") + (sequence_length + 1), horizon).alias("y"),
+    )
+
+
+def sequence_windows(
+    frame: DataFrame,
+    sequence_length: int = 168,
+    horizon: int = 24,
+    step: str | timedelta = "h",
+    target: str = VALUE,
+    features: Sequence[str] | None = None,
+    dtype: str = "float",
+    check: bool = True,
+    steps_per_block: int | None = None,
+) -> DataFrame:
+    """Windows with values: ``x ARRAY<ARRAY<FLOAT>>`` (steps by features) and ``y ARRAY<FLOAT>``.
+
+    ``x`` holds every feature column, the target among them, over the first ``sequence_length`` rows; ``y``
+    the target over the ``horizon`` rows after. About ``sequence_length`` times the size of its input: to keep
+    windows, keep their ``window_store``.
+    """
+    store = window_store(frame, sequence_length, horizon, step, target, features, dtype, check, steps_per_block)
+    return expand_windows(store, sequence_length, horizon, step)
+
+
 def dataset_sizes(
     frame: DataFrame,
     targets: DataFrame,

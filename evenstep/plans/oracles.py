@@ -152,7 +152,7 @@ def _constant_columns() -> str:
     return " UNION ALL ".join(one.format(c=c) for c in ["value", *calendar, *LONG.history])
 
 
-def _sequence_sums() -> str:
+def _sequence_sums(recipe: Recipe) -> str:
     step = "(date_diff('day', w.start_ts, f.ts) + 1)"
     ahead = "f.ts >= w.target_ts"
 
@@ -162,17 +162,15 @@ def _sequence_sums() -> str:
 
     met = f"""SELECT w.*, f.* EXCLUDE (series_id, split, ts), {step} AS step, {ahead} AS ahead
         FROM windows w JOIN wide f ON f.series_id = w.series_id AND f.split = w.split AND f.ts BETWEEN w.start_ts AND w.end_ts"""
-    parts = [one(name, name, "NOT ahead") for name in SHORT.features] + [one("y", "value", "ahead")]
-    return f", wide AS ({_WIDE}), met AS ({met}) " + " UNION ALL ".join(parts)
+    parts = [one(name, name, "NOT ahead") for name in recipe.features] + [one("y", "value", "ahead")]
+    wide = f"SELECT series_id, split, ts, value, {_calendar_exact('frame_start')}, {', '.join(recipe.history)} FROM features"
+    return f", wide AS ({wide}), met AS MATERIALIZED ({met}) " + " UNION ALL ".join(parts)
 
 
 def _calendar_exact(start: str) -> str:
     return re.sub(r"round\((.*?), 6\) AS", r"\1 AS", _calendar(start))
 
 
-_WIDE = f"SELECT series_id, split, ts, value, {_calendar_exact('frame_start')}, {', '.join(SHORT.history)} FROM features"
-
-
 def _one_lag() -> str:
     """CTEs: supervised rows with the lag, and a line per step fitted to the training rows."""
     return """
@@ -268,7 +266,10 @@ ORACLES: dict[str, str] = {
           count(*) < {SHORT.sequence_length + SHORT.horizon} AS too_short FROM segments GROUP BY 1, 2""",
     "window_manifest": _with(*_SEGMENTED, _windows(SHORT, SHORT.sequence_length, SHORT.horizon))
     + " SELECT series_id, split, start_ts, target_ts, end_ts FROM windows",
-    "sequence_windows": _with(_DAILY_BY_STATUS, _DIVIDED, _features(SHORT, digits=None), _segments(SHORT, "features", "series_id, split"), _windows(SHORT, SHORT.sequence_length, SHORT.horizon)) + _sequence_sums(),
+    "sequence_windows": _with(_DAILY_BY_STATUS, _DIVIDED, _features(SHORT, digits=None), _segments(SHORT, "features", "series_id, split"), _windows(SHORT, SHORT.sequence_length, SHORT.horizon))
+    + _sequence_sums(SHORT),
+    "stored_windows": _with(*_LONG_FEATURES, _segments(LONG, "features", "series_id, split"), _windows(LONG, LONG.sequence_length, LONG.horizon))
+    + _sequence_sums(LONG),
     "tail_holdout": _with(*_SEGMENTED, _windows(SHORT, SHORT.sequence_length, SHORT.horizon))
     + """ SELECT series_id, split, target_ts,
           CASE WHEN row_number() OVER (PARTITION BY series_id ORDER BY target_ts) - 1
@@ -306,6 +307,23 @@ ORACLES: dict[str, str] = {
     + """ SELECT series_id, step, count(*) AS n, round(sqrt(sum((yhat - y) * (yhat - y)) / count(*)), 6) AS rmse
           FROM naive GROUP BY 1, 2""",
     "linear_one_lag": _ONE_LAG_FORECAST,
+    "linear_two_features": _with(*_LONG_FEATURES, _targets(LONG, "features", ("series_id", "split")))
+    + """, rows_of AS (SELECT t.series_id, t.split, t.ts, t.step, t.value AS y, f.lag_24h AS a, f.rolling_mean_24h AS b
+                       FROM targets t JOIN features f USING (series_id, split, ts)),
+       moments AS (SELECT step, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab,
+                          covar_pop(a, y) AS ay, covar_pop(b, y) AS yb FROM rows_of WHERE split = 'train' GROUP BY 1),
+       plane AS (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS wa, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM moments)
+       SELECT series_id, ts, step, round(my + wa * (a - ma) + wb * (b - mb), 2) AS yhat
+       FROM rows_of JOIN plane USING (step) WHERE split = 'test'""",
+    "prepared_counts": _with(_DAILY, _DIVIDED, _features(SHORT, digits=None), _targets(SHORT, "features", ("series_id", "split")),
+                             _segments(SHORT, "features", "series_id, split"), _windows(SHORT, SHORT.sequence_length, SHORT.horizon))
+    + f""", flagged AS (SELECT split, {_is_holiday("ts::DATE")} AND date_trunc('day', ts) >= frame_start AS holiday,
+                               {" OR ".join(f"{c} IS NULL" for c in SHORT.history)} AS incomplete FROM lagged),
+       cells AS (SELECT split, 1 AS row, holiday::INTEGER AS holiday, incomplete::INTEGER AS incomplete, 0 AS feature, 0 AS target, 0 AS windowed FROM flagged
+         UNION ALL SELECT split, 0, 0, 0, 1, 0, 0 FROM features UNION ALL SELECT split, 0, 0, 0, 0, 1, 0 FROM targets WHERE step = 1
+         UNION ALL SELECT split, 0, 0, 0, 0, 0, 1 FROM windows)
+       SELECT split, sum(row)::BIGINT AS rows, sum(holiday)::BIGINT AS holiday_rows, sum(incomplete)::BIGINT AS incomplete_rows,
+              sum(feature)::BIGINT AS feature_rows, sum(target)::BIGINT AS target_rows, sum(windowed)::BIGINT AS windows FROM cells GROUP BY 1""",
     "scaled_register_reload": _ONE_LAG_FORECAST,
     "linear_normal_equations": f"""SELECT step::INTEGER AS step, feature, 0.0::DOUBLE AS moment
        FROM range(1, {SHORT.horizon + 1}) t(step), (SELECT unnest({SHORT.features}) AS feature)""",
@@ -330,5 +348,6 @@ ORACLES: dict[str, str] = {
        SELECT model, n, 0::BIGINT AS unscored, round(rmse, 2) AS rmse,
               round((1 - rmse / max(rmse) FILTER (model = 'naive') OVER ()) * 100)::INTEGER AS improvement_pct FROM scores""",
     "csv_roundtrip": "SELECT event_type AS series_id, ts::TIMESTAMP AS ts, value FROM events",
+    "csv_two_headers": "SELECT event_type AS series_id, ts::TIMESTAMP AS ts, value FROM events",
     "latest_version": """SELECT o_orderpriority AS name, max(o_orderkey)::VARCHAR AS version FROM orders GROUP BY 1""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from evenstep.functions.calendar import CALENDAR_NAMES, add_calendar, with_frame_start
 from evenstep.functions.stamps import step_micros
@@ -13,13 +13,13 @@ from evenstep.models.linear import LinearForecaster, fit_linear
 from evenstep.models.naive import require_season, seasonal_naive
 from evenstep.models.trees import PRESETS, TreeForecaster, fit_trees
 from evenstep.operators.blocks import home_rows, to_blocks
-from evenstep.operators.evaluation import improvement_over, rmse
+from evenstep.operators.evaluation import improvement_over, scores
 from evenstep.operators.lags import add_lags, lag_names, require_periods, with_history
 from evenstep.operators.scaling import SeriesScaler, scale_columns
-from evenstep.operators.splitting import chronological_split, require_ratios
+from evenstep.operators.splitting import SPLITS, chronological_split, require_ratios
 from evenstep.operators.targets import add_targets
-from evenstep.operators.windows import sequence_windows
-from evenstep.schema import FRAME_START, SERIES, SPLIT, TARGET_TS, TS, VALUE, Y, YHAT, keys_of
+from evenstep.operators.windows import expand_windows, window_store
+from evenstep.schema import FRAME_START, SERIES, SPLIT, TARGET_TS, TS, VALUE, Y, YHAT, all_of, keys_of
 from evenstep.sources.storage import settle
 
 
@@ -62,12 +62,15 @@ def divide(series: DataFrame, recipe: Recipe, check: bool = True) -> DataFrame:
     return chronological_split(series, *recipe.ratios, step=recipe.step, check=check)
 
 
-def feature_frame(divided: DataFrame, recipe: Recipe) -> DataFrame:
-    """Calendar, lag and rolling columns per slice; rows with a null in any of them are dropped."""
+def _lagged(divided: DataFrame, recipe: Recipe) -> DataFrame:
     step = step_micros(recipe.step)
     blocked = to_blocks(with_frame_start(divided), step, recipe.reach, 0, recipe.steps_per_block)
-    lagged = home_rows(add_lags(blocked, recipe.lags, recipe.rolling, step))
-    kept = with_history(lagged, recipe.lags, recipe.rolling)
+    return home_rows(add_lags(blocked, recipe.lags, recipe.rolling, step))
+
+
+def feature_frame(divided: DataFrame, recipe: Recipe) -> DataFrame:
+    """Calendar, lag and rolling columns per slice; rows with a null in any of them are dropped."""
+    kept = with_history(_lagged(divided, recipe), recipe.lags, recipe.rolling)
     return add_calendar(kept).select(*keys_of(kept), FRAME_START, TS, *recipe.features)
 
 
@@ -87,30 +90,65 @@ def supervised_frame(divided: DataFrame, recipe: Recipe) -> DataFrame:
 
 @dataclass(frozen=True)
 class Prepared:
-    """Scaled inputs for every model, with the statistics that scaled them."""
+    """Scaled inputs for every model, with the statistics that scaled them, and what the passes counted by split.
+
+    ``counts`` has, for each split, ``rows``, ``holiday_rows`` and ``incomplete_rows`` (before rows with incomplete history
+    go), ``feature_rows``, ``target_rows`` and ``windows``.
+    """
 
     scaler: SeriesScaler
     tabular: DataFrame
+    store: DataFrame
     sequence: DataFrame
     series: DataFrame
+    counts: dict[str, dict[str, int]]
+
+
+class _Counted:
+    """Counts by split, taken while a frame is written."""
+
+    def __init__(self, **numbers: Column) -> None:
+        self.numbers, self.seen = numbers, Observation()
+
+    def watch(self, frame: DataFrame) -> DataFrame:
+        wanted = [
+            F.sum(F.when(F.col(SPLIT) == split, number.cast("bigint"))).alias(f"{name} {split}")
+            for name, number in self.numbers.items()
+            for split in SPLITS
+        ]
+        return frame.observe(self.seen, *wanted)
+
+    def by_split(self) -> dict[str, dict[str, int]]:
+        found = self.seen.get
+        return {split: {name: found.get(f"{name} {split}") or 0 for name in self.numbers} for split in SPLITS}
 
 
 def prepare(series: DataFrame, recipe: Recipe, check: bool = True) -> Prepared:
     """Split, build features, fit the scaler on training rows, scale, and draw both datasets from that.
 
-    The feature frame feeds three consumers, so it is stored once.
+    The feature frame feeds three consumers, so it is stored once; so are the rows with targets and the windows (as
+    a ``window_store``). The audits are counted in the passes that write these tables, without a job of their own.
     """
     divided = divide(series, recipe, check)
-    features = settle(feature_frame(divided, recipe))
+    lagged = add_calendar(_lagged(divided, recipe))
+    complete = all_of([F.col(name).isNotNull() for name in recipe.history])
+    audit = _Counted(rows=F.lit(1), holiday_rows=F.col("is_holiday") == 1, incomplete_rows=~complete)
+    history = _Counted(feature_rows=F.lit(1))
+    kept = with_history(audit.watch(lagged), recipe.lags, recipe.rolling)
+    features = settle(history.watch(kept.select(*keys_of(kept), FRAME_START, TS, *recipe.features)))
     scaler = SeriesScaler(scale_columns(features)).fit(features, check)
     scaled = scaler.transform(features)
     step = step_micros(recipe.step)
     blocked = to_blocks(scaled, step, 0, recipe.horizon, recipe.steps_per_block)
-    tabular = home_rows(add_targets(blocked, recipe.horizon, step)).where(F.size(Y) == recipe.horizon)
-    windows = sequence_windows(
-        scaled, recipe.sequence_length, recipe.horizon, recipe.step, check=check, steps_per_block=recipe.steps_per_block
-    )
-    return Prepared(scaler, tabular.drop(FRAME_START), windows, series)
+    targets, windows = _Counted(target_rows=F.lit(1)), _Counted(windows=F.size("windows"))
+    paired = home_rows(add_targets(blocked, recipe.horizon, step)).where(F.size(Y) == recipe.horizon)
+    tabular = settle(targets.watch(paired.drop(FRAME_START)))
+    lengths = recipe.sequence_length, recipe.horizon, recipe.step
+    stored = window_store(scaled, *lengths, check=check, steps_per_block=recipe.steps_per_block)
+    store = settle(windows.watch(stored))
+    counted = [c.by_split() for c in (audit, history, targets, windows)]
+    counts = {split: {k: v for found in counted for k, v in found[split].items()} for split in SPLITS}
+    return Prepared(scaler, tabular, store, expand_windows(store, *lengths), series, counts)
 
 
 def naive_forecast(series: DataFrame, recipe: Recipe, split: str = "test", check: bool = True) -> DataFrame:
@@ -141,20 +179,19 @@ def fit_roster(train: DataFrame, recipe: Recipe, roster: Roster | None = None) -
 def leaderboard(
     series: DataFrame, recipe: Recipe, roster: Roster | None = None, check: bool = True
 ) -> DataFrame:
-    """``[model, n, rmse, improvement_pct]`` on the test split, in original units, against the naive bar.
+    """``[model, n, unscored, rmse, improvement_pct]`` on the test split, in original units, against the naive bar.
 
-    All models are scored on the same rows: those that the naive forecast can answer. With ``check`` it has to
-    answer all of them.
+    All models are scored on the same rows, those that the naive forecast can answer, side by side in one pass.
+    With ``check`` it has to answer all rows; otherwise ``unscored`` counts those it cannot.
     """
     rows = settle(supervised_frame(divide(series, recipe, check), recipe))
     train, test = rows.where(F.col(SPLIT) == "train"), rows.where(F.col(SPLIT) == "test")
     naive_name = f"seasonal_naive_{recipe.season}h"
-    bar = settle(seasonal_naive(test, series, recipe.horizon, recipe.season, recipe.step, check).where(F.col(YHAT).isNotNull()))
-    test, forecasts = bar.drop(YHAT), {naive_name: bar}
-    for name, model in fit_roster(train, recipe, roster).items():
-        forecasts[name] = model.predict(test)
-    scores = None
-    for name, forecast in forecasts.items():
-        one = rmse(forecast).select(F.lit(name).alias("model"), "n", "rmse")
-        scores = one if scores is None else scores.unionByName(one)
-    return improvement_over(scores, naive_name)
+    board = settle(seasonal_naive(test, series, recipe.horizon, recipe.season, recipe.step, check))
+    board, forecasts = board.withColumnRenamed(YHAT, "_naive"), {naive_name: "_naive"}
+    for at, (name, model) in enumerate(fit_roster(train, recipe, roster).items()):
+        forecasts[name] = f"_forecast_{at}"
+        predicted = model.predict(board)
+        answered = F.when(F.col("_naive").isNotNull(), F.col(YHAT))
+        board = predicted.withColumn(forecasts[name], answered).drop(YHAT)
+    return improvement_over(scores(board, forecasts), naive_name)

@@ -19,7 +19,15 @@ from evenstep.operators.quality import arrival_disorder, validate, validation_re
 from evenstep.operators.scaling import SeriesScaler, scale_columns, split_drift
 from evenstep.operators.splitting import reassemble, split_summary, tail_holdout
 from evenstep.operators.targets import horizon_targets
-from evenstep.operators.windows import dataset_sizes, gap_segments, segment_lengths, sequence_windows, window_manifest
+from evenstep.operators.windows import (
+    dataset_sizes,
+    expand_windows,
+    gap_segments,
+    segment_lengths,
+    sequence_windows,
+    window_manifest,
+    window_store,
+)
 from evenstep.plans.fixtures import (
     HOURLY,
     LONG,
@@ -178,9 +186,20 @@ def q_window_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_sequence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every window and column with the number of its values and their sum, each value times its step."""
     frame = feature_frame(_divided(spark, sf_dir), SHORT)
     windows = sequence_windows(frame, SHORT.sequence_length, SHORT.horizon, SHORT.step, dtype="double", check=False)
+    return _weighed(windows, SHORT)
+
+
+def q_stored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 168 steps and 24 ahead, from a store that holds every row about once."""
+    lengths = LONG.sequence_length, LONG.horizon, LONG.step
+    store = settle(window_store(_long_features(spark, sf_dir), *lengths, dtype="double", check=False))
+    return _weighed(expand_windows(store, *lengths), LONG)
+
+
+def _weighed(windows: DataFrame, recipe: Recipe) -> DataFrame:
+    """Every window and column with the number of its values and their sum, each value times its step."""
 
     def cell(column: str, values: Column, first: int) -> Column:
         weighed = F.transform(values, lambda value, at: value * (at + first))
@@ -192,8 +211,8 @@ def q_sequence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     def column(i: int) -> Column:
         return F.transform("x", lambda row: row[i])
 
-    cells = [cell(name, column(i), 1) for i, name in enumerate(SHORT.features)]
-    ahead = cell("y", F.col("y"), SHORT.sequence_length + 1)
+    cells = [cell(name, column(i), 1) for i, name in enumerate(recipe.features)]
+    ahead = cell("y", F.col("y"), recipe.sequence_length + 1)
     return windows.select(SERIES, SPLIT, "start_ts", TARGET_TS, F.inline(F.array(*cells, ahead)))
 
 
@@ -288,6 +307,16 @@ def q_linear_one_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _in_hundredths(long_form(forecast, [SERIES, TS], YHAT, "yhat"), "yhat")
 
 
+_TWO_MEANS = ["lag_24h", "rolling_mean_24h"]
+
+
+def q_linear_two_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two features and all 24 steps, fitted and scored at once."""
+    train, test = _learned(spark, sf_dir, LONG)
+    forecast = fit_linear(train, _TWO_MEANS, LONG.horizon).predict(test)
+    return _in_hundredths(long_form(forecast, [SERIES, TS], YHAT, "yhat"), "yhat")
+
+
 def q_linear_normal_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What least squares leaves over is at right angles to every feature: all moments are 0."""
     train, _ = _learned(spark, sf_dir, SHORT)
@@ -335,6 +364,13 @@ def q_scaled_register_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _in_hundredths(long_form(restored, [SERIES, TS], YHAT, "yhat"), "yhat")
 
 
+def q_prepared_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the passes of a preparation counted while they wrote its tables."""
+    counts = prepare(settle(daily_quantity(spark, sf_dir)), SHORT, check=False).counts
+    names = list(next(iter(counts.values())))
+    return spark.createDataFrame([(split, *found.values()) for split, found in counts.items()], ", ".join(["split string", *(f"{n} long" for n in names)]))
+
+
 def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as headed CSV and read back as a panel."""
     path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
@@ -342,6 +378,16 @@ def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, path, "ts", "value", "event_type")
 
 
+def q_csv_two_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written to one folder with their columns in two orders, one of them with a column more, and read as one panel."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("string"))
+    odd = F.col("event_id") % 2 == 1
+    events.where(odd).select("ts", "value", "event_type").write.option("header", True).csv(path)
+    events.where(~odd).select("event_type", "event_id", "value", "ts").write.option("header", True).mode("append").csv(path)
+    return read_csv(spark, path, "ts", "value", "event_type")
+
+
 def _tree_forecast(name: str) -> Query:
     kind, settings = _SMALL_TREES[name]
 
@@ -394,6 +440,7 @@ QUERIES: dict[str, Query] = {
     "segment_lengths": q_segment_lengths,
     "window_manifest": q_window_manifest,
     "sequence_windows": q_sequence_windows,
+    "stored_windows": q_stored_windows,
     "tail_holdout": q_tail_holdout,
     "dataset_sizes": q_dataset_sizes,
     "scaler_fit": q_scaler_fit,
@@ -411,9 +458,12 @@ QUERIES: dict[str, Query] = {
     "forecast_leaderboard": q_forecast_leaderboard,
     "latest_version": q_latest_version,
     "linear_one_lag": q_linear_one_lag,
+    "linear_two_features": q_linear_two_features,
     "linear_normal_equations": q_linear_normal_equations,
+    "prepared_counts": q_prepared_counts,
     "forest_stump": q_forest_stump,
     "leaderboard_naive_linear": q_leaderboard_naive_linear,
     "scaled_register_reload": q_scaled_register_reload,
     "csv_roundtrip": q_csv_roundtrip,
+    "csv_two_headers": q_csv_two_headers,
 }

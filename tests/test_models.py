@@ -137,6 +137,48 @@ def test_linear_equals_least_squares(spark, prepared_rows):
     np.testing.assert_allclose(np.stack(out["yhat"].to_list()), ones(out) @ weights, rtol=1e-6)
 
 
+@pytest.mark.parametrize("tall", [40, 8192])
+def test_linear_keeps_its_digits_at_a_high_condition(spark, monkeypatch, tall):
+    from evenstep.models import linear
+
+    monkeypatch.setattr(linear, "_TALL", tall)
+    draw = np.random.default_rng(4)
+    base = draw.normal(size=(600, 4))
+    # The last column is the sum of two others but for a part in 1e9, after standardising too.
+    columns = np.column_stack([base, base[:, 0] + base[:, 1] + 1e-9 * draw.normal(size=600)])
+    outputs = columns @ draw.normal(size=(5, 2)) + draw.normal(size=(600, 2))
+    centred = (columns - columns.mean(axis=0)) / columns.std(axis=0)
+    assert 1e8 < np.linalg.cond(centred) < 1e10
+    frame = spark.createDataFrame(
+        [("a", *map(float, x), [float(v) for v in y]) for x, y in zip(columns, outputs)],
+        "series_id string, a double, b double, c double, d double, e double, y array<double>",
+    )
+    model = fit_linear(frame, list("abcde"), 2)
+    row = model.coefficients.first()
+    # In the exact rotation both solve, predictions agree although the weights are huge.
+    weights, *_ = np.linalg.lstsq(np.column_stack([np.ones(600), centred]), outputs, rcond=1e-13)
+    want = np.column_stack([np.ones(600), centred]) @ weights
+    got = np.array(row.intercept) + columns @ np.array(row.weights).T
+    assert np.abs(got - want).max() < 1e-6 and np.linalg.norm(outputs - got) <= np.linalg.norm(outputs - want) * (1 + 1e-8)
+
+
+def test_forecasts_of_many_outputs_stay_compiled(prepared_rows):
+    train, test = prepared_rows
+    plan = fit_linear(train, SMALL.features, SMALL.horizon).predict(test)._jdf.queryExecution().executedPlan().toString()
+    assert "transform(" in plan and "_weights[" not in plan
+
+
+def test_board_counts_the_rows_left_out(seasonal):
+    # A short reach, so that rows whose season is missing are not lost to their own history.
+    recipe = Recipe(lags=(1, 2), rolling=(6,), sequence_length=6, horizon=2, season=48)
+    holes = seasonal.where("not (ts > '2015-02-16' and hour(ts) = 5 and day(ts) = 17)")
+    rows = {r.model: r for r in leaderboard(holes, recipe, {}, check=False).collect()}
+    assert {(r.n, r.unscored) for r in rows.values()} == {(rows["linear_regression"].n, rows["linear_regression"].unscored)}
+    assert rows["linear_regression"].unscored > 0
+    whole = {r.model: r for r in leaderboard(seasonal, recipe, {}).collect()}
+    assert {r.unscored for r in whole.values()} == {0}
+
+
 def test_linear_fits_each_series_and_survives_constant_and_collinear_columns(spark, ramp):
     def line(series, slope):
         return ramp(60, series=series).withColumn("value", F.col("value") * slope).withColumns(
@@ -222,6 +264,23 @@ def test_preparation_isolates_splits(seasonal):
     assert drift["train"] == pytest.approx(0, abs=1e-9)
 
 
+def test_preparation_counts_in_the_passes_that_write(seasonal):
+    from evenstep.functions.calendar import calendar_features
+    from evenstep.operators.lags import feature_audit, lag_features
+    from evenstep.operators.windows import window_manifest
+
+    got = prepare(seasonal, SMALL)
+    divided = divide(seasonal, SMALL)
+    audit = {r.split: r for r in feature_audit(calendar_features(lag_features(divided, SMALL.lags, SMALL.rolling))).collect()}
+    frame = feature_frame(divided, SMALL)
+    count = lambda f: {r.split: r["count"] for r in f.groupBy("split").count().collect()}
+    rows, targets, windows = count(frame), count(horizon_targets(frame, SMALL.horizon)), count(window_manifest(frame, 24, 4))
+    for split, found in got.counts.items():
+        told = audit[split]
+        assert (found["rows"], found["holiday_rows"], found["incomplete_rows"]) == (told.rows, told.holiday_rows, told.incomplete_rows)
+        assert (found["feature_rows"], found["target_rows"], found["windows"]) == (rows[split], targets[split], windows[split])
+
+
 def test_scaled_targets_come_back_in_original_units(seasonal):
     got = prepare(seasonal, SMALL)
     back = {(r.split, r.ts): r.y for r in got.scaler.inverse_transform(got.tabular, ["y"]).collect()}
