@@ -116,11 +116,13 @@ def _header_value(value: object) -> str:
 
 
 def _member(content: bytes) -> bytes:
-    """``content`` as a gzip member with its packed and plain lengths in its header."""
+    """``content`` as a gzip member with its packed and plain lengths in its header, as far as 32 bits tell them."""
     press = zlib.compressobj(3, zlib.DEFLATED, -15)
     body = press.compress(content) + press.flush()
-    size = 10 + 2 + 12 + len(body) + 8
-    extra = b"sl" + struct.pack("<HII", 8, size & 0xFFFFFFFF, len(content) & 0xFFFFFFFF)
+    size, plain = 10 + 2 + 12 + len(body) + 8, len(content)
+    if max(size, plain) >> 32:
+        size = plain = 0  # not known; the reader inflates the member to its end
+    extra = b"sl" + struct.pack("<HII", 8, size, plain)
     head = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff" + struct.pack("<H", len(extra)) + extra
     return head + body + struct.pack("<II", zlib.crc32(content), len(content) & 0xFFFFFFFF)
 
@@ -269,14 +271,19 @@ class _Packed:
         self.plain = b"".join(parts)
         return self.plain
 
+    def check(self) -> None:
+        """Inflate the member to its end, where its checksum is compared."""
+        kept = self.plain
+        while not self.inflate.eof:
+            self.plain = b""
+            self.upto(WINDOW)
+        self.plain = kept
+
     def end(self) -> int:
         """Where the next member starts: by this one's header, else by inflating it to its end."""
         if self.length is not None:
             return self.at + self.length
-        while not self.inflate.eof:
-            kept, self.plain = self.plain, b""
-            self.upto(WINDOW)
-            self.plain = kept
+        self.check()
         return self.at + self.fed - len(self.inflate.unused_data)
 
 
@@ -289,6 +296,9 @@ class _Plain:
     def upto(self, n: int) -> bytes:
         return bytes(self.window.take(self.at, n))
 
+    def check(self) -> None:
+        """Nothing to compare with."""
+
     def end(self) -> int:
         return self.at + self.length
 
@@ -429,6 +439,8 @@ class WarcReader(DataSourceReader):
             if all(_passes(f, row) for f in self.filters):
                 if whole or sized:
                     row |= self._payload(record, row, block, length, whole)
+                    if whole:
+                        record.check()
                 yield row | {"headers": list(fields.items()), "file": path, "offset": at}
             at = record.end()
 
@@ -438,7 +450,7 @@ class WarcReader(DataSourceReader):
         The payload of an HTTP message is what follows its headers; of any other record the whole block.
         """
         if not (row["content_type"] or "").startswith("application/http"):
-            return {"payload_bytes": length, "payload": record.upto(block + length)[block:] if whole else None}
+            return {"payload_bytes": length, "payload": record.upto(block + length)[block : block + length] if whole else None}
         n = block + min(length, HEAD)
         while (at := (head := record.upto(n)).find(_END, block, block + length)) < 0 and n < block + length:
             n = min(n * 4, block + length)
