@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import chain
 
@@ -29,9 +29,11 @@ from evenstep.llm.pretokens import pretokens
 BLOCK = "block long, doc_ids array<long>, sizes array<long>, packed binary"
 WORDS = "part int, block long, packed binary"
 #: Bytes of text in a block, unless a single document has more.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 2 << 20
 #: Words whose ids a task keeps at hand; beyond that it forgets them and may encode a word again.
 KEPT_WORDS = 300_000
+#: Ids that are decoded at once, unless a single document has more.
+DECODED_IDS = 1 << 18
 
 
 @cache
@@ -81,10 +83,10 @@ def _opened(packed: bytes, sizes: list[int]) -> Iterator[list[str]]:
         at = end
 
 
-def _by_part(words: set[str], parts: int) -> list[list[str]]:
-    """Distinct words dealt by hash; the same set gives the same lists."""
+def _by_part(words: Iterable[str], parts: int) -> list[list[str]]:
+    """Distinct words dealt by hash, in their own order; the same words give the same lists."""
     dealt: list[list[str]] = [[] for _ in range(parts)]
-    for word in sorted(words):
+    for word in words:
         dealt[xxhash.xxh64_intdigest(word) % parts].append(word)
     return dealt
 
@@ -114,9 +116,9 @@ def encode(docs: DataFrame, path: str, pattern: str, parts: int | None = None) -
     def name_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, sizes, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "packed"))):
-                named: set[str] = set()
+                named: dict[str, None] = {}  # in the order of their first place
                 for words in _opened(packed, sizes):
-                    named.update(words)
+                    named.update(dict.fromkeys(words))
                 rows = [(part, _packed_words(words)) for part, words in enumerate(_by_part(named, parts)) if words]
                 if rows:
                     yield _batch(WORDS, [r[0] for r in rows], [block] * len(rows), [r[1] for r in rows])
@@ -136,23 +138,37 @@ def encode(docs: DataFrame, path: str, pattern: str, parts: int | None = None) -
                 yield _batch(WORDS, [part], [block], [zstandard.compress(sizes + b"".join(ids), 6)])
 
     def assemble(texts: pa.Table, encoded: pa.Table) -> pa.Table:
+        """Every word of the block by its number, and the ids of all numbers in a row; the documents' ids are picked from it."""
         schema = schema_of("doc_id long, ids array<int>")
-        doc_ids: list = []
-        found: list = []
+        tables = [schema.empty_table()]
         answers = dict(zip(encoded.column("part").to_pylist(), encoded.column("packed").to_pylist()))
         for row in texts.to_pylist():
-            documents = list(_opened(row["packed"], row["sizes"]))
-            ids_of: dict[str, list[int]] = {}
-            for part, words in enumerate(_by_part(set(chain.from_iterable(documents)), parts)):
+            numbers: dict[str, int] = {}
+            places, counts = [], []
+            for words in _opened(row["packed"], row["sizes"]):
+                for word in words:
+                    if word not in numbers:
+                        numbers[word] = len(numbers)
+                places.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+                counts.append(len(words))
+            sizes, starts = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+            ids, at = [], 0
+            for part, words in enumerate(_by_part(numbers, parts)):
                 if words:
-                    data = np.frombuffer(zstandard.decompress(answers[part]), "<u4")
-                    ends = (len(words) + np.cumsum(data[: len(words)])).tolist()
-                    numbers = data.tolist()
-                    for word, start, end in zip(words, [len(words), *ends], ends):
-                        ids_of[word] = numbers[start:end]
-            doc_ids += row["doc_ids"]
-            found += [np.fromiter(chain.from_iterable(map(ids_of.__getitem__, words)), np.int32) for words in documents]
-        return pa.Table.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(found, pa.list_(pa.int32()))], schema=schema)
+                    data = np.frombuffer(zstandard.decompress(answers[part]), "<u4").astype(np.int32)
+                    own, of = data[: len(words)], np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+                    sizes[of], starts[of] = own, at + np.cumsum(own) - own
+                    ids.append(data[len(words) :])
+                    at += len(ids[-1])
+            place = np.concatenate(places)
+            lengths = sizes[place]
+            ends = np.cumsum(lengths)
+            picked = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[place] - (ends - lengths), lengths)
+            flat = np.concatenate(ids)[picked] if ids else np.empty(0, np.int32)
+            offsets = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+            tables.append(pa.Table.from_arrays([pa.array(row["doc_ids"], pa.int64()), lists], schema=schema))
+        return pa.concat_tables(tables)
 
     blocks = docs.select("doc_id", "text").mapInArrow(_blocks, BLOCK).repartition("block")
     words = blocks.mapInArrow(name_words, WORDS)
@@ -168,10 +184,18 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """
     names = encoded.columns
 
+    def in_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sums = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + DECODED_IDS, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_id = sorted((rank, token) for token, rank in ranks(path).items())
         table = pa.array([token for _, token in by_id], pa.large_binary())
-        for batch in batches:
+        for batch in chain.from_iterable(map(in_slices, batches)):
             lists = batch.column("ids")
             lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
             tokens = pc.take(table, pc.list_flatten(lists))
