@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -183,33 +184,88 @@ def test_filter_by_quality_keeps_rows_whole(marked):
     assert quality_classifier.kept_documents(docs, labels.limit(0)).count() == docs.count()
 
 
-def test_kneser_ney_tells_by_prefix():
-    table = np.zeros((2, toxicity.CELLS))
-    for word in (b"grimol", b"grimano", b"grimu", b"grimere"):
-        np.add.at(table[1], toxicity.cells(word), 1)
-    for i in range(300):
-        np.add.at(table[int(i % 3 == 0)], toxicity.cells(prose(i, 30).encode()), 1)
-    ratio = toxicity.kneser_ney(table)
-    assert ratio[toxicity.cells(b"grimzak")].min() > 1 and abs(ratio[toxicity.cells(b"lo")]).max() < 1
-    assert len(toxicity.cells(None)) == 0 and len(toxicity.cells(b" 12 .")) == 0
+def plain_stretches(text):
+    """The stretches of a text, a list for each word."""
+    out, before = [], b""
+    for word in toxicity.words_of(text):
+        padded = b"    " + word + b" "
+        inside = [padded[i : i + 5] for i in range(1, len(word) + 1)]
+        out.append([(b"    " + before + b" ")[-4:] + word[:1] if before else b"    " + word[:1], *inside])
+        before = word
+    return out
+
+
+def plain_ratios(rows):
+    """Log-ratio of any stretch by interpolated Kneser-Ney with shared continuation counts, from ``(text, label)``."""
+    counts = [Counter(g for t, y in rows if y == c for w in plain_stretches(t) for g in w) for c in (0, 1)]
+    seen = set(counts[0]) | set(counts[1])
+    follows = {4: Counter(g[1:] for g in seen)}
+    for size in (3, 2, 1):
+        follows[size] = Counter(g[1:] for g in follows[size + 1])
+
+    def shared(part):
+        if not part:
+            return 1 / 256
+        after = [n for g, n in follows[len(part)].items() if g[:-1] == part[:-1]]
+        return (max(follows[len(part)][part] - 0.75, 0) + 0.75 * len(after) * shared(part[1:])) / sum(after)
+
+    def ratio(gram):
+        logs = []
+        for c in counts:
+            after = [n for g, n in c.items() if g[:-1] == gram[:-1]]
+            aside = 0.75 * len(after) / sum(after) if after else 1.0
+            own = max(c[gram] - 0.75, 0) / sum(after) if after else 0.0
+            logs.append(np.log(own + aside * shared(gram[1:])) if gram in seen else np.log(aside))
+        return logs[1] - logs[0]
+
+    return ratio
+
+
+def test_features_equal_kneser_ney_written_out(spark):
+    draw = random.Random(8)
+    texts = [prose(i, draw.randint(1, 25)) + (" grim" + draw.choice("aeiou") * 2) * (i % 3 == 0) for i in range(40)]
+    texts += ["Ähm ähm! 12 x", "", None, "a", "b a", ". ,"]
+    rows = [(t, int(i % 3 == 0)) for i, t in enumerate(texts[:43])]
+    grams = toxicity.settle(toxicity.counted(spark.createDataFrame(rows, "text string, toxic int").repartition(3)))
+    ratios = toxicity.log_ratios(grams)
+    ratio = plain_ratios([(t.encode() if t else None, y) for t, y in rows])
+    docs = spark.createDataFrame([*enumerate(texts), (None, "grimaa unheard"), (3, texts[3])], "doc_id long, text string")
+    found = toxicity.features(docs, ratios).collect()
+    assert len(found) == len(texts) + 2
+    by_id = dict(enumerate(texts)) | {None: "grimaa unheard"}
+    for r in found:
+        told = [sum(map(ratio, w)) for w in plain_stretches((by_id[r.doc_id] or "").encode())]
+        assert r.words == len(told)
+        assert r.told == pytest.approx(np.mean(told) if told else 0, abs=1e-9)
+        assert r.clear == pytest.approx(np.mean([max(t - toxicity.CLEAR, 0) for t in told]) if told else 0, abs=1e-9)
+
+
+def test_scores_follow_the_curve_written_out(marked):
+    docs, labels = marked
+    model = toxicity.fit(docs, labels)
+    by_id = {r.doc_id: r for r in toxicity.features(docs, model.ratios).collect()}
+    for r in toxicity.score(docs, model).collect():
+        f = by_id[r.doc_id]
+        z = np.dot(model.weights, [10 * f.clear, np.log1p(f.words), np.log1p(f.clear * f.words), 1])
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
 
 
 def test_toxic_expressions_of_ordinary_words(spark):
-    """Word order tells, where single words do not; against Kneser-Ney by hand."""
+    """Word order tells, where single words do not."""
     rows = [(i, ("dog man " if i % 2 else "man dog ") * 5, i % 2) for i in range(400)]
     docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
-    texts = spark.createDataFrame([("a b a c", 0), ("a c c", 1)], "text string, toxic int")
-    ratios, backs = toxicity.pair_ratios(texts)
-    hashes = {p: int(toxicity.pairs(p.encode())[0].view(np.int64)[1]) for p in ("a b", "a c", "c c")}
-    found = {r.pair: r.ratio for r in ratios.collect()}
-    # Pairs: start a, a b, b a, a c, c c; so c follows two of five, b one.
-    by_hand = {"a b": (0.75 / 5) / (0.25 / 2 + 0.75 / 5), "a c": (0.25 + 0.75 * 2 / 5) / (0.25 / 2 + 0.75 * 2 / 5), "c c": (0.25 + 0.75 * 2 / 5) / (2 / 5)}
-    assert len(found) == 5 and all(abs(found[hashes[p]] - np.log(v)) < 1e-5 for p, v in by_hand.items())
-    assert backs.count() == 4
     scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
     assert all((scores[i] > 0.5) == bool(t) for i, _, t in rows)
 
 
+def test_texts_shuffled_to_many_labels_teach_the_same(marked, monkeypatch):
+    docs, labels = marked
+    key = lambda rows: sorted(((r.key, round(r.value, 9)) for r in rows.collect()))
+    sent = key(toxicity.learned(docs, labels)[0])
+    monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 0)
+    assert key(toxicity.learned(docs, labels)[0]) == sent
+
+
 def test_languages_are_told_apart(spark):
     letters = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "ver"], "cc": ["ção", "nh", "lhe"]}
     draw, rows = random.Random(2), []
