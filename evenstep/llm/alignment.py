@@ -12,7 +12,6 @@ pair travels once a block, however often it occurs there.
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from collections.abc import Iterator
 from functools import cache, cached_property
@@ -21,20 +20,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
-import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from evenstep.llm.byte_level import byte_level
 from evenstep.llm.common import schema_of
-from evenstep.llm.pretokens import pretokens
 from evenstep.sources.storage import settle
 
 #: Links of a block and bytes of text of a slice, unless a single document has more.
 BLOCK_LINKS = 2_000_000
 SLICE_BYTES = 1 << 20
-#: White space that goes on for longer is split without the pattern, whose look-ahead is costly there.
-LONG_BLANK = 500
 BLOCK = (
     "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, links array<long>, "
     "digests array<string>, codes array<long>, times array<long>, places binary"
@@ -42,16 +38,6 @@ BLOCK = (
 ANSWER = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 #: A pair of ids in one number.
 _SHIFT = 24
-# Bytes that a byte-level vocabulary writes as themselves; the others follow from 256 on.
-_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-
-
-@cache
-def _byte_of() -> dict[str, int]:
-    rest = [b for b in range(256) if b not in _PLAIN]
-    return {chr(b): b for b in _PLAIN} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Vocabulary:
     """Bytes, lengths and decimal numbers of a tokenizer's ids."""
 
@@ -61,31 +47,15 @@ class Vocabulary:
         self.digits = pa.array([str(i) for i in range(len(tokens))], pa.large_string())
 
 
-class ByteLevel:
-    """A byte-level BPE from a tokenizer file with its usual pattern; strings of special tokens are plain text."""
-
-    def __init__(self, path: str, pattern: str) -> None:
-        with open(path, "rb") as file:
-            told = json.load(file)
-        model, byte_of = told["model"], _byte_of()
-        special = {t["content"] for t in told["added_tokens"]}
-        ids = {t: i for t, i in model["vocab"].items() if t not in special}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in ids.items()}
-        # An id is the rank of the merge that makes it, so that ids alone say what is merged first.
-        merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
-        made = [ids[m.replace(" ", "", 1)] for m in merges]
-        if told["normalizer"] or model["type"] != "BPE" or made != sorted(made):
-            raise ValueError(f"{path} is no plain byte-level BPE in the order of its merges")
-        self.encoding = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        tokens = [b""] * (max(ranks.values()) + 1)
-        for token, i in ranks.items():
-            tokens[i] = token
-        self.vocabulary = Vocabulary(tokens)
+class Bytes:
+    """A byte-level tokenizer with what its ids stand for."""
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = byte_level(path)
+        self.vocabulary = Vocabulary(self.tokenizer.tokens)
 
     def encode(self, text: str) -> list[int]:
-        if _BLANKS.search(text):
-            return [i for word in pretokens(text) for i in self.encoding._encode_single_piece(word)]
-        return self.encoding.encode_ordinary(text)
+        return self.tokenizer.encode(text)
 
 
 class Pieces:
@@ -107,21 +77,20 @@ class Pieces:
         return self.model.encode(text, num_threads=1)
 
 
-_BLANKS = re.compile(r"\s{%d}" % LONG_BLANK)
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 @cache
-def _tokenizers(a: str, pattern: str, b: str) -> tuple[ByteLevel, Pieces]:
+def _tokenizers(a: str, b: str) -> tuple[Bytes, Pieces]:
     """One of each for all tasks of a worker process."""
-    return ByteLevel(a, pattern), Pieces(b)
+    return Bytes(a), Pieces(b)
 
 
-def _parts(text: str, size: int = SLICE_BYTES) -> Iterator[str]:
+def _parts(text: str) -> Iterator[str]:
     """A long text cut at single blanks, which both tokenizers start a token at; a part stands for blank and text."""
     at = 0
-    while len(text) - at > size:
-        cut = _CUT.search(text, at + size)
+    while len(text) - at > SLICE_BYTES:
+        cut = _CUT.search(text, at + SLICE_BYTES)
         if cut is None:
             break
         yield text[at : cut.start()]
@@ -129,7 +98,7 @@ def _parts(text: str, size: int = SLICE_BYTES) -> Iterator[str]:
     yield text[at:]
 
 
-def _encoded(text: str, first: ByteLevel, second: Pieces) -> tuple[list[int], list[int]]:
+def _encoded(text: str, first: Bytes, second: Pieces) -> tuple[list[int], list[int]]:
     a: list[int] = []
     b: list[int] = []
     for part in _parts(text) if len(text) > SLICE_BYTES and second.apart else (text,):
@@ -159,7 +128,7 @@ def _sides(lists: pa.LargeListArray, known: Vocabulary) -> tuple[np.ndarray, np.
     return parents, ids, sums - before[parents]
 
 
-def align(texts: list[str], first: ByteLevel, second: Pieces) -> dict[str, np.ndarray | list]:
+def align(texts: list[str], first: Bytes, second: Pieces) -> dict[str, np.ndarray | list]:
     """Numbers of tokens, groups and links of each text, digests of the groups, and the id pair of every link in order."""
     encoded = [_encoded(t, first, second) if t else ([], []) for t in texts]
     wanted = pa.array([b" " + t.encode() if t else b"" for t in texts], pa.large_binary())
@@ -214,11 +183,11 @@ def _block(number: int, doc_ids: list, parts: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, schema_of(BLOCK))], schema=schema_of(BLOCK))
 
 
-def aligned_blocks(docs: DataFrame, a: str, pattern: str, b: str) -> DataFrame:
+def aligned_blocks(docs: DataFrame, a: str, b: str) -> DataFrame:
     """Documents aligned and put into blocks of about ``BLOCK_LINKS`` links."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = _tokenizers(a, pattern, b)
+        first, second = _tokenizers(a, b)
         number = TaskContext.get().partitionId() << 32
         doc_ids: list = []
         parts: list[dict] = []
@@ -268,16 +237,16 @@ def _summed(blocks: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def aligned(docs: DataFrame, a: str, pattern: str, b: str) -> DataFrame:
+def aligned(docs: DataFrame, a: str, b: str) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` for every row of ``docs``.
 
-    ``a`` is the file of a byte-level tokenizer that splits by ``pattern`` and encodes a blank and the text; ``b`` a sentencepiece
+    ``a`` is the file of a byte-level tokenizer, which encodes a blank and the text; ``b`` a sentencepiece
     model that puts that blank there itself. A text that is null, empty, or not given back byte by byte by both has no
     tokens: zeros and an empty digest. ``n_best`` counts links whose pair is the most frequent of its ``b`` id, ties included. A null ``doc_id`` is carried
     along, repeated rows count each, an empty table gives no rows, other columns are not looked at. Texts of more than a
     mebibyte are encoded in parts, cut where both tokenizers start anew.
     """
-    blocks = settle(aligned_blocks(docs, a, pattern, b))
+    blocks = settle(aligned_blocks(docs, a, b))
     counts = settle(pair_counts(blocks))
     asked = blocks.select(F.col("block").alias("of"), F.posexplode("codes").alias("place", "_code"))
     answers = asked.join(counts.hint("merge"), F.col("_code") == F.col("code")).select("of", "place", "n", "best")

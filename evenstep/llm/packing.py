@@ -8,18 +8,15 @@ when it leaves.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from tokenizers import Tokenizer
 
+from evenstep.llm.byte_level import ByteLevel, byte_level
 from evenstep.llm.common import schema_of
-from evenstep.llm.pretokens import pretokens
 from evenstep.sources.storage import settle
 
 LENGTH = 1024
@@ -28,75 +25,40 @@ MEMBER = "uid long, sequence_id long, offset long"
 BIN = "fill int, uids array<long>, lengths array<long>"
 
 
-class WordEncoder:
-    """Ids of a text by a byte-level tokenizer file, with the ids of recent words kept.
-
-    Words of such a tokenizer are encoded independently of each other. Words are kept in two generations of at
-    most ``kept``; when the younger is full it becomes the older, and what was used of the old one has moved on.
-    """
-
-    def __init__(self, path: str, kept: int = 300_000) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
-        self.tokenizer = Tokenizer.from_file(path)
-        self.kept = kept
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        # Texts of added tokens are single ids wherever they stand.
-        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-
-    def _learn(self, words: set[str]) -> None:
-        missing = [w for w in words if w not in self.words]
-        if len(self.words) + len(missing) > self.kept:
-            self.older, self.words, missing = self.words, {}, list(words)
-        new = []
-        for word in missing:
-            if word in self.older:
-                self.words[word] = self.older[word]
-            else:
-                new.append(word)
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.words[word] = np.array(found.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        for content, number in self.added.items():
-            if content in text:
-                between = np.array([number], "<u4").tobytes()
-                return between.join(self.encode(part) for part in text.split(content))
-        words = pretokens(text)
-        try:
-            return b"".join([self.words[w] for w in words])
-        except KeyError:
-            self._learn(set(words))
-            return b"".join([self.words[w] for w in words])
-
-
-@cache
-def word_encoder(path: str) -> WordEncoder:
-    """One encoder for all tasks of a worker process, so that a word is learned once in it."""
-    return WordEncoder(path)
+def encoded(text: str, tokenizer: ByteLevel) -> list[int]:
+    """Ids of a text; those of an added token wherever its string stands."""
+    for content, number in tokenizer.added.items():
+        if content in text:
+            first, *others = text.split(content)
+            ids = encoded(first, tokenizer)
+            for part in others:
+                ids.append(number)
+                ids += encoded(part, tokenizer)
+            return ids
+    return tokenizer.encode(text) if text else []
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH) -> DataFrame:
     """Each document's ids and ``end_id``, cut into pieces of ``length`` of which only the first may be shorter.
 
-    A null text counts as empty and is ``end_id`` alone; a null ``doc_id`` is carried along; repeated rows give
+    ``tokenizer`` is the file of a byte-level tokenizer. A null text counts as empty and is ``end_id`` alone; a null ``doc_id`` is carried along; repeated rows give
     repeated pieces.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, schema = word_encoder(tokenizer), schema_of(PIECE)
-        last = np.array([end_id], "<u4").tobytes()
+        known, schema = byte_level(tokenizer), schema_of(PIECE)
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = (encoder.encode(text) if text else b"") + last
-                start, n = 0, len(ids) // 4
-                end = n % length or length
-                for piece in range(-(-n // length)):
-                    rows.append((doc_id, piece, start, end - start, zlib.crc32(ids[4 * start : 4 * end])))
-                    start, end = end, end + length
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows: list[tuple] = []
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    ids = np.array([*encoded(text or "", known), end_id], "<u4").tobytes()
+                    start, n = 0, len(ids) // 4
+                    end = n % length or length
+                    for piece in range(-(-n // length)):
+                        rows.append((doc_id, piece, start, end - start, zlib.crc32(ids[4 * start : 4 * end])))
+                        start, end = end, end + length
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECE)
 
@@ -154,11 +116,11 @@ def _round(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         yield out.slice(start, 4096)
 
 
-def pack(items: DataFrame, length: int = LENGTH, open_below: float = 0.995, per_task: int = 200_000) -> DataFrame:
+def pack(items: DataFrame, length: int = LENGTH, open_below: float = 0.995, per_task: int = 200_000, members_per_task: int = 2_000_000) -> DataFrame:
     """``uid, sequence_id, offset`` for ``items`` (``uid`` unique, ``length`` from 1 to ``length``).
 
     A bin filled to ``open_below`` of ``length`` leaves after the round that filled it; the rest meet again, at
-    most about ``per_task`` of them in a task. Rounds go on until one task has packed what is left, or a round no
+    most about ``per_task`` of them with ``members_per_task`` members in a task. Rounds go on until one task has packed what is left, or a round no
     longer lowers the number of bins. Nothing is dropped: what is open at the end leaves as it is.
     The number of a sequence is the ``uid`` of its first item.
     """
@@ -169,14 +131,15 @@ def pack(items: DataFrame, length: int = LENGTH, open_below: float = 0.995, per_
     )
     full = F.col("fill") >= int(open_below * length)
     finished, tasks = [], None
-    waiting = bins.count()
+    sizes = F.count(F.lit(1)), F.coalesce(F.sum(F.size("uids")), F.lit(0))
+    waiting, members = bins.agg(*sizes).first()
     while waiting and tasks != 1:
-        fewest = -(-waiting // per_task)
+        fewest = max(-(-waiting // per_task), -(-members // members_per_task))
         tasks = max(fewest, -(-tasks // 4)) if tasks else fewest
         packed = settle(bins.repartition(tasks).mapInArrow(lambda batches: _round(batches, length), BIN))
         finished.append(packed.where(full))
         bins = packed.where(~full)
-        before, waiting = waiting, bins.count()
+        before, (waiting, members) = waiting, bins.agg(*sizes).first()
         if waiting + finished[-1].count() == before:
             break
     for done in finished:

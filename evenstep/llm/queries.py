@@ -72,7 +72,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    return aligned(_documents(spark, sf_dir), paths[0], public_tokenizers.PATTERN, paths[1])
+    return aligned(_documents(spark, sf_dir), *paths)
 
 
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
