@@ -1,43 +1,43 @@
-"""One typed error per concern, so a caller can tell a bad source from a bad split."""
+"""Errors by the part of the chain that raises them."""
 
 from __future__ import annotations
 
 
 class DataSourceError(RuntimeError):
-    """A source cannot be read or lacks a needed column."""
+    """Files, headers or cells that no panel can be made of."""
 
 
 class DataValidationError(ValueError):
-    """A series breaks a data-quality rule."""
+    """Problems that the quality report lists."""
 
 
 class SplitError(ValueError):
-    """A series cannot be divided as asked."""
+    """Shares, or a series too short for them."""
 
 
 class FeatureError(ValueError):
-    """A calendar, lag or rolling feature cannot be built from this frame."""
+    """Frames without unique keyed stamps, or reaches that make no sense."""
 
 
 class TargetError(ValueError):
-    """A row cannot be paired with its future."""
+    """Horizons that no row of a frame can look ahead by."""
 
 
 class SequenceError(ValueError):
-    """A frame cannot be windowed as asked."""
+    """Lengths, columns or runs that give no window."""
 
 
 class ScalerError(RuntimeError):
-    """A scaler is unfitted, or cannot fit or find a column."""
+    """Statistics that are missing, or that would divide by zero."""
 
 
 class NaiveModelError(ValueError):
-    """The seasonal naive forecast has no answer for a row."""
+    """A season too short, or rows whose stamp of last season is not there."""
 
 
 class ForecastError(ValueError):
-    """A learned forecaster cannot be fitted or applied."""
+    """Learners without a name, or rows without their features."""
 
 
 class RegistryError(RuntimeError):
-    """Fitted parameters cannot be stored or brought back whole."""
+    """Versions that are not there, or models that cannot be stored."""

@@ -185,6 +185,34 @@ _ONE_LAG_FORECAST = (
     _with(*_SUPERVISED, _one_lag())
     + " SELECT series_id, ts, step, round(a + b * lag_1h, 2) AS yhat FROM rows_of JOIN line USING (step) WHERE split = 'test'"
 )
+
+
+def _best_split(name: str, rows: str) -> str:
+    """CTEs ``<name>_best`` (the split of ``y`` on one feature that lowers the variance most) and ``<name>``, each row's leaf."""
+    return f"""
+{name}_long AS (UNPIVOT (SELECT dayofweek, month, y FROM {rows} WHERE split = 'train') ON dayofweek, month INTO NAME feature VALUE x),
+{name}_values AS (SELECT feature, x, count(*) AS n, sum(y) AS s FROM {name}_long GROUP BY 1, 2),
+{name}_cuts AS (SELECT feature, x, lead(x) OVER w AS above, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER (PARTITION BY feature) AS n,
+                       sum(s) OVER (PARTITION BY feature) AS s FROM {name}_values WINDOW w AS (PARTITION BY feature ORDER BY x)),
+{name}_best AS (SELECT feature, (x + above) / 2 AS cut_at, sl / nl AS low, (s - sl) / (n - nl) AS high FROM {name}_cuts WHERE above IS NOT NULL
+                ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC LIMIT 1),
+{name} AS (SELECT ts, CASE WHEN CASE feature WHEN 'month' THEN month ELSE dayofweek END <= cut_at THEN low ELSE high END AS leaf
+           FROM {rows}, {name}_best)"""
+
+
+_STUMPS = (
+    _with(
+        *_SUPERVISED,
+        """
+rows_of AS (SELECT split, ts, (isodow(ts) - 1)::DOUBLE AS dayofweek, month(ts)::DOUBLE AS month, value AS y FROM targets WHERE step = 1)""",
+        _best_split("first", "rows_of"),
+        """
+left_over AS (SELECT r.* REPLACE (r.y - first.leaf AS y) FROM rows_of r JOIN first USING (ts))""",
+        _best_split("second", "left_over"),
+    )
+    + """ SELECT 'all' AS series_id, r.ts, 1::INTEGER AS step, round({yhat}, 2) AS yhat
+         FROM rows_of r JOIN first USING (ts) JOIN second USING (ts) WHERE split = 'test'"""
+)
 _SEGMENTED = (*_SHORT_FEATURES, _segments(SHORT, "features", "series_id, split"))
 _NAIVE = (*_LONG_FEATURES, _targets(LONG, "features", ("series_id", "split")), _naive())
 
@@ -327,18 +355,9 @@ ORACLES: dict[str, str] = {
     "scaled_register_reload": _ONE_LAG_FORECAST,
     "linear_normal_equations": f"""SELECT step::INTEGER AS step, feature, 0.0::DOUBLE AS moment
        FROM range(1, {SHORT.horizon + 1}) t(step), (SELECT unnest({SHORT.features}) AS feature)""",
-    "forest_stump": _with(*_SUPERVISED)
-    + """, rows_of AS (SELECT split, ts, (isodow(ts) - 1)::DOUBLE AS dayofweek, month(ts)::DOUBLE AS month, value AS y
-                       FROM targets WHERE step = 1),
-       long AS (UNPIVOT (SELECT dayofweek, month, y FROM rows_of WHERE split = 'train') ON dayofweek, month INTO NAME feature VALUE x),
-       by_value AS (SELECT feature, x, count(*) AS n, sum(y) AS s FROM long GROUP BY 1, 2),
-       cut AS (SELECT feature, x, lead(x) OVER w AS above, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER (PARTITION BY feature) AS n,
-                      sum(s) OVER (PARTITION BY feature) AS s FROM by_value WINDOW w AS (PARTITION BY feature ORDER BY x)),
-       best AS (SELECT feature, (x + above) / 2 AS cut_at, sl / nl AS low, (s - sl) / (n - nl) AS high FROM cut WHERE above IS NOT NULL
-                ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC LIMIT 1)
-       SELECT 'all' AS series_id, ts, 1::INTEGER AS step,
-              round(CASE WHEN CASE feature WHEN 'month' THEN month ELSE dayofweek END <= cut_at THEN low ELSE high END, 2) AS yhat
-       FROM rows_of, best WHERE split = 'test'""",
+    "forest_stump": _STUMPS.format(yhat="first.leaf"),
+    "trees_register_reload": _STUMPS.format(yhat="first.leaf"),
+    "boosted_stumps": _STUMPS.format(yhat="first.leaf + second.leaf"),
     "leaderboard_naive_linear": _with(*_SUPERVISED, _one_lag())
     + f""", both_ways AS (
          SELECT r.y, r.ts, s.value AS naive, a + b * lag_1h AS linear FROM rows_of r JOIN line USING (step)

@@ -12,7 +12,7 @@ from evenstep.functions.stamps import step_micros
 from evenstep.models.linear import LinearForecaster, fit_linear
 from evenstep.models.naive import require_season, seasonal_naive
 from evenstep.models.trees import PRESETS, TreeForecaster, fit_trees
-from evenstep.operators.blocks import home_rows, to_blocks
+from evenstep.operators.blocks import BLOCK, PHASE, home_rows, to_blocks
 from evenstep.operators.evaluation import improvement_over, scores
 from evenstep.operators.lags import add_lags, lag_names, require_periods, with_history
 from evenstep.operators.scaling import SeriesScaler, scale_columns
@@ -20,7 +20,7 @@ from evenstep.operators.splitting import SPLITS, chronological_split, require_ra
 from evenstep.operators.targets import add_targets
 from evenstep.operators.windows import expand_windows, window_store
 from evenstep.schema import FRAME_START, SERIES, SPLIT, TARGET_TS, TS, VALUE, Y, YHAT, all_of, keys_of
-from evenstep.sources.storage import settle
+from evenstep.sources.storage import settle, settle_bucketed
 
 
 @dataclass(frozen=True)
@@ -62,19 +62,27 @@ def divide(series: DataFrame, recipe: Recipe, check: bool = True) -> DataFrame:
     return chronological_split(series, *recipe.ratios, step=recipe.step, check=check)
 
 
-def _lagged(divided: DataFrame, recipe: Recipe) -> DataFrame:
+def stored_blocks(divided: DataFrame, recipe: Recipe) -> DataFrame:
+    """A divided series in blocks that see as far as the recipe does, stored so that features, targets or both are
+    built from it, as often as need be, without another shuffle. Give it to them as ``blocks``.
+    """
+    blocked = to_blocks(with_frame_start(divided), step_micros(recipe.step), recipe.reach, recipe.horizon, recipe.steps_per_block)
+    return settle_bucketed(blocked, [*keys_of(divided), BLOCK, PHASE])
+
+
+def _lagged(divided: DataFrame, recipe: Recipe, blocks: DataFrame | None = None) -> DataFrame:
     step = step_micros(recipe.step)
-    blocked = to_blocks(with_frame_start(divided), step, recipe.reach, 0, recipe.steps_per_block)
+    blocked = blocks if blocks is not None else to_blocks(with_frame_start(divided), step, recipe.reach, 0, recipe.steps_per_block)
     return home_rows(add_lags(blocked, recipe.lags, recipe.rolling, step))
 
 
-def feature_frame(divided: DataFrame, recipe: Recipe) -> DataFrame:
+def feature_frame(divided: DataFrame, recipe: Recipe, blocks: DataFrame | None = None) -> DataFrame:
     """Calendar, lag and rolling columns per slice; rows with a null in any of them are dropped."""
-    kept = with_history(_lagged(divided, recipe), recipe.lags, recipe.rolling)
+    kept = with_history(_lagged(divided, recipe, blocks), recipe.lags, recipe.rolling)
     return add_calendar(kept).select(*keys_of(kept), FRAME_START, TS, *recipe.features)
 
 
-def supervised_frame(divided: DataFrame, recipe: Recipe) -> DataFrame:
+def supervised_frame(divided: DataFrame, recipe: Recipe, blocks: DataFrame | None = None) -> DataFrame:
     """``feature_frame`` plus ``y`` and ``target_ts``, in one shuffle.
 
     Futures are taken over the rows that survive the null drop, so a row lost to incomplete history also
@@ -82,7 +90,7 @@ def supervised_frame(divided: DataFrame, recipe: Recipe) -> DataFrame:
     front of a block have their own history inside it, and both passes run on the same blocks.
     """
     step = step_micros(recipe.step)
-    blocked = to_blocks(with_frame_start(divided), step, recipe.reach, recipe.horizon, recipe.steps_per_block)
+    blocked = blocks if blocks is not None else to_blocks(with_frame_start(divided), step, recipe.reach, recipe.horizon, recipe.steps_per_block)
     kept = with_history(add_lags(blocked, recipe.lags, recipe.rolling, step), recipe.lags, recipe.rolling)
     paired = home_rows(add_targets(kept, recipe.horizon, step)).where(F.size(Y) == recipe.horizon)
     return add_calendar(paired).select(*keys_of(paired), TS, TARGET_TS, *recipe.features, Y)

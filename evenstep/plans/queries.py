@@ -331,15 +331,34 @@ def q_linear_normal_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("moment", F.round(F.coalesce("moment", F.lit(0.0)), 6) + F.lit(0.0))
 
 
+_ORDINALS = ["dayofweek", "month"]
+_STUMP = {"numTrees": 1, "maxDepth": 1, "bootstrap": False, "featureSubsetStrategy": "all"}
+
+
 def q_forest_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One tree of one split on whole-number features: the split that lowers the variance most."""
     train, test = _learned(spark, sf_dir, SHORT)
-    model = fit_trees(
-        train, "forest", ["dayofweek", "month"], 1, numTrees=1, maxDepth=1, bootstrap=False, featureSubsetStrategy="all"
-    )
+    model = fit_trees(train, "forest", _ORDINALS, 1, **_STUMP)
     return _in_hundredths(long_form(model.predict(test), [SERIES, TS], YHAT, "yhat"), "yhat")
 
 
+def q_boosted_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of boosting by trees of one split: the second is fitted to what the first leaves over."""
+    train, test = _learned(spark, sf_dir, SHORT)
+    model = fit_trees(train, "gbt", _ORDINALS, 1, maxIter=2, maxDepth=1, stepSize=0.5)
+    return _in_hundredths(long_form(model.predict(test), [SERIES, TS], YHAT, "yhat"), "yhat")
+
+
+def q_trees_register_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree model stored, brought back by its name and applied."""
+    train, test = _learned(spark, sf_dir, SHORT)
+    root = f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}"
+    model = fit_trees(train, "forest", _ORDINALS, 1, **_STUMP)
+    register(root, model, ModelMeta("stump", "forest", _ORDINALS, 1, hyperparameters=_STUMP), spark=spark)
+    stored = load_registered(root, "stump", spark=spark)
+    return _in_hundredths(long_form(stored.model.predict(test), [SERIES, TS], YHAT, "yhat"), "yhat")
+
+
 def q_leaderboard_naive_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _learned(spark, sf_dir, SHORT)
     series = settle(daily_quantity(spark, sf_dir))
@@ -462,6 +481,8 @@ QUERIES: dict[str, Query] = {
     "linear_normal_equations": q_linear_normal_equations,
     "prepared_counts": q_prepared_counts,
     "forest_stump": q_forest_stump,
+    "boosted_stumps": q_boosted_stumps,
+    "trees_register_reload": q_trees_register_reload,
     "leaderboard_naive_linear": q_leaderboard_naive_linear,
     "scaled_register_reload": q_scaled_register_reload,
     "csv_roundtrip": q_csv_roundtrip,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +32,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def settle_bucketed(df: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
+    """Write ``df`` once in buckets of ``columns`` and go on from them: what groups by these columns, or by more than these,
+    needs no shuffle, however often the table is read. A bucket is a file, written by one task; their number is that of the
+    session's shuffle partitions unless given.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"evenstep_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, *columns).write.bucketBy(buckets, *columns)
+    dealt.option("path", f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}").saveAsTable(name, format="parquet")
+    return spark.table(name)
+
+
 @contextmanager
 def run_storage(spark: SparkSession) -> Iterator[str]:
     """A folder for one run: every table settled inside the block is deleted when the block ends.
@@ -59,3 +72,12 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settle_alone(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` returns, written once; the tables that were settled on the way there are deleted."""
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    with run_storage(spark):
+        built = build()
+        built.write.parquet(path)
+    return spark.read.schema(built.schema).parquet(path)

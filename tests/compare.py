@@ -22,6 +22,8 @@ def canonical(frame: pd.DataFrame) -> pd.DataFrame:
     for column in frame.columns:
         if str(frame[column].dtype).startswith("datetime64"):
             frame[column] = frame[column].astype("datetime64[us]")
+        elif str(frame[column].dtype) == "Int64":  # whole numbers with nulls
+            frame[column] = frame[column].astype("float64")
         elif frame[column].dtype == object:
             frame[column] = frame[column].map(str)
         elif frame[column].dtype.kind == "f":

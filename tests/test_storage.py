@@ -5,7 +5,7 @@ import subprocess
 import sys
 from pathlib import Path
 
-from evenstep.sources.storage import run_storage, settle
+from evenstep.sources.storage import run_storage, settle, settle_alone, shared_folder
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -32,3 +32,11 @@ def test_run_storage_leaves_nothing(spark):
         assert settle(spark.range(5)).count() == 5
         assert any(Path(folder).glob("settled-*"))
     assert not Path(folder).exists()
+
+
+def test_a_result_outlives_what_it_was_made_of(spark):
+    before = set(Path(shared_folder(spark).removeprefix("file:")).iterdir())
+    made = settle_alone(spark, lambda: settle(spark.range(5)).unionByName(settle(spark.range(2))))
+    assert made.count() == 7
+    left = [p for p in set(Path(shared_folder(spark).removeprefix("file:")).iterdir()) - before if any(p.iterdir())]
+    assert len(left) == 1 and left[0].name.startswith("settled-")
