@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -18,7 +19,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from evenstep.llm import quality_classifier, quality_rules, toxicity
+from evenstep.llm import language_id, quality_classifier, quality_rules, toxicity
 from evenstep.llm.byte_bpe import decode, digests, encode
 from evenstep.llm.common import bounded_sample
 from evenstep.llm.language_id import held_out_identification
@@ -286,6 +287,57 @@ def test_languages_are_told_apart(spark):
     assert held_out_identification(frame.limit(0)).collect() == []
 
 
+def test_language_scores_equal_kernel_regression_written_out(spark):
+    """With every text a landmark: sets of letter n-grams, their cosines, and weighted ridge regression in dual form."""
+    letters = {"aa": ["ka", "lo", "mi", "ne"], "bb": ["ka", "schu", "ver", "ung"], "cc": ["lo", "lhe", "ne", "ung"]}
+    draw, rows = random.Random(9), []
+    for i in range(45):
+        lang = draw.choice(["aa", "aa", "bb", "cc"])
+        rows.append((i, " ".join("".join(draw.choice(letters[lang]) for _ in range(draw.randint(1, 3))) for _ in range(12)), lang))
+    asked = [(100 + i, " ".join(draw.choice(sum(letters.values(), [])) for _ in range(10)), None) for i in range(25)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_landmark=1000)
+
+    def grams(text):
+        padded = "".join(c if c.isalpha() else " " for c in text)
+        return {padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1)}
+
+    sets = [grams(t) for _, t, _ in rows]
+    cosine = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    kernel = np.array([[cosine(a, b) for b in sets] for a in sets])
+    langs = sorted(letters)
+    y = np.array([[1.0 if lang == x else -1.0 for x in langs] for _, _, lang in rows])
+    weight = np.array([1 / sum(o == lang for _, _, o in rows) for _, _, lang in rows])
+    weight *= len(rows) / weight.sum()
+    n, w = len(rows), np.diag(weight)
+    system = np.block([[w @ kernel + 1e-3 * n * np.eye(n), weight[:, None]], [weight[None, :] @ kernel, np.array([[weight.sum()]])]])
+    solved = np.linalg.solve(system, np.vstack([w @ y, weight[None, :] @ y]))
+    want = np.array([[cosine(grams(t), s) for s in sets] for _, t, _ in asked]) @ solved[:n] + solved[n]
+    got = model.scores(np.stack([language_id.presence(t) for _, t, _ in asked]))
+    assert model.languages == tuple(langs)
+    assert np.abs(got - want).max() < 0.05 and np.abs(got - want).mean() < 0.01
+
+
+def test_quality_scores_equal_a_plain_bradley_terry_fit(marked):
+    docs, labels = marked
+    model = quality_classifier.fit(docs, labels)
+    rank = {r.doc_id: r.quality for r in labels.where("quality in (0, 1)").collect()}
+    rows = sorted((r.doc_id, r.text) for r in docs.collect() if r.doc_id in rank and r.doc_id is not None)
+    x = np.array([quality_classifier.measures(None if t is None else t.encode()) for _, t in rows], np.float32).astype(float)
+    y = np.array([rank[i] for i, _ in rows])
+    z = (x - model.centre) / model.spread
+    good, bad = z[y == 1], z[y == 0]
+    longer = max(len(good), len(bad))
+    pairs = np.array([good[i % len(good)] - bad[(i + i // longer) % len(bad)] for i in range(8 * longer)])
+    w = np.zeros(z.shape[1])
+    speed = np.zeros_like(w)
+    for _ in range(6000):  # accelerated descent on the mean logistic loss
+        slope = -(pairs.T @ (1 / (1 + np.exp(pairs @ w)))) / len(pairs) + 1e-3 * w
+        speed = 0.95 * speed - 0.2 * slope
+        w = w + speed
+    assert np.abs(w - model.weights).max() < 1e-3 * max(1, np.abs(w).max())
+    assert np.allclose(model.scores(x), z @ w, atol=1e-2)
+
+
 def test_bounded_sample_is_whole_where_small(spark):
     rows = spark.createDataFrame([("a", i) for i in range(1000)] + [("b", i) for i in range(5)], "s string, k long")
     counts = {r.s: r["count"] for r in bounded_sample(rows, "s", "k", 20).groupBy("s").count().collect()}
