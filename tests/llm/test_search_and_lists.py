@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from datetime import date
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -220,11 +222,58 @@ def test_partners_beyond_the_first_document(documents, monkeypatch):
     whole = {6 * case + k for case in range(12) for k in (4, 5)}
     for block in (substring_dedup.BLOCK, 2):
         monkeypatch.setattr(substring_dedup, "BLOCK", block)
+        monkeypatch.setattr(substring_dedup, "INSIDE", block if block == 2 else substring_dedup.INSIDE)
+        monkeypatch.setattr(substring_dedup, "FEW", min(block, substring_dedup.FEW))
         found = [r for r in repeated_passages(documents(texts)).collect() if not r.kept]
         assert {r.doc_id for r in found} == whole
         assert all((r.start_word, r.end_word, r.first_doc_id) == (40, 94, r.doc_id // 6 * 6 + 3) for r in found)
 
 
+def test_planted_near_copies_are_found(documents):
+    """Passages of 50 to 200 words with up to five edits, where they are alike enough, between words of their own."""
+    draw, texts, wanted = random.Random(21), [], {}
+    for case in range(150):
+        size, edits = draw.randint(50, 200), draw.randint(0, 5)
+        passage = [f"w{case}x{k}" for k in range(size)]
+        other = list(passage)
+        for _ in range(edits):
+            at = draw.randrange(len(other))
+            kind = draw.choice(["swap", "drop", "add"])
+            other[at : at + (kind != "add")] = [] if kind == "drop" else [f"e{case}x{draw.random()}"]
+        sides = [[f"s{case}n{k}x{i}" for i in range(draw.randint(0, 60))] for k in range(4)]
+        texts += [" ".join(sides[0] + passage + sides[1]), " ".join(sides[2] + other + sides[3])]
+        ours, theirs = (set(zip(*(x[i:] for i in range(5)))) for x in (passage, other))
+        if len(other) >= 50 and 4 * len(ours & theirs) >= 3 * len(ours | theirs):
+            wanted[2 * case + 1] = (len(sides[2]), len(sides[2]) + len(other))
+    found = {r.doc_id for r in repeated_passages(documents(texts)).collect() if not r.kept}
+    assert len(wanted) > 100 and len(found & set(wanted)) >= 0.97 * len(wanted)
+
+
+def test_every_repeated_run_is_covered(documents, monkeypatch):
+    """Passages in random company, pieces of them, and crowded buckets: no window of 50 words that repeats is left out."""
+    draw, pool = random.Random(4), [prose(i, 90).split() for i in range(6)]
+    texts = []
+    for i in range(90):
+        words = [f"o{i}n{k}" for k in range(draw.randint(0, 30))]
+        for passage in draw.sample(pool, draw.randint(1, 3)):
+            start = draw.randint(0, 35)
+            words += passage[start : start + draw.randint(45, 90)] + [f"m{i}n{k}" for k in range(draw.randint(0, 12))]
+        texts.append(" ".join(words))
+    first, repeats = {}, {}
+    for i, text in enumerate(texts):
+        words = text.split()
+        for k in range(len(words) - 49):
+            if first.setdefault(tuple(words[k : k + 50]), i) != i:
+                repeats.setdefault(i, []).append(k)
+    for crowded in (substring_dedup.CROWDED, 3):
+        monkeypatch.setattr(substring_dedup, "CROWDED", crowded)
+        spans = {}
+        for r in repeated_passages(documents(texts)).where("not kept").collect():
+            spans.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+        missed = [(i, k) for i, places in repeats.items() for k in places if not any(s <= k and k + 50 <= e for s, e in spans.get(i, []))]
+        assert missed == [] and sum(map(len, repeats.values())) > 500
+
+
 def test_places_beyond_24_bits():
     centre = (1 << 24) + 70
     place = pa.array([centre << 24 | 50 << 12 | 50], pa.int64())
