@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as driver
 import corpus_pipeline
 from evenstep.llm import quality_classifier, quality_rules
-from llm_cases import DOCUMENTS, prose
+from llm_cases import CLASHING, DOCUMENTS, prose
 from test_near_dedup import brute_force, edited
 
 
@@ -119,6 +119,31 @@ def test_empty_tables(spark, corpus, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_extra_columns_with_clashing_names_come_through(spark, documents, tmp_path):
+    texts = [prose(i, 120) for i in range(30)] + [prose(3, 120), None, ""]
+    rows = [*enumerate(texts), (None, prose(40, 120)), (5, texts[5])]
+    documents(rows, CLASHING).write.parquet(f"{tmp_path}/documents.parquet")
+    # Labels of one kind teach nothing, so that all documents go on.
+    spark.createDataFrame([(i, 1, 0, "x") for i in range(4)], "doc_id long, quality int, toxic int, score string").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns, name
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert packed.count() > 0 and packed.where("doc_id is null").count() > 0
+
+
+def test_stages_leave_only_their_results(spark, corpus, tmp_path):
+    folder, _ = corpus
+    before = spark.conf.get("spark.evenstep.storage", None)
+    spark.conf.set("spark.evenstep.storage", str(tmp_path))
+    try:
+        assert corpus_pipeline.run(spark, folder).count() > 100
+        assert len([p for p in tmp_path.iterdir() if any(p.iterdir())]) == len(corpus_pipeline.STAGES)
+    finally:
+        spark.conf.unset("spark.evenstep.storage") if before is None else spark.conf.set("spark.evenstep.storage", before)
+
+
 @pytest.mark.parametrize("name", sorted(driver.LLM_ORACLES))
 def test_query_equals_its_sql(spark, name):
     if not (TABLES / "sf0.01").exists():
@@ -129,4 +154,4 @@ def test_query_equals_its_sql(spark, name):
 
 def test_one_query_for_each_operator():
     names = [n.split("_")[0] for n in driver.queries() if n.startswith("op")]
-    assert sorted(names, key=lambda n: int(n[2:])) == [f"op{n}" for n in range(1, 11)] and "pipeline" in driver.queries()
+    assert sorted(names, key=lambda n: int(n[2:])) == [f"op{n}" for n in range(1, 14)] and "pipeline" in driver.queries()
