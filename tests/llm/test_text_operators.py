@@ -338,6 +338,27 @@ def test_quality_scores_equal_a_plain_bradley_terry_fit(marked):
     assert np.allclose(model.scores(x), z @ w, atol=1e-2)
 
 
+@pytest.mark.parametrize("better", [0.6, 0.3])
+def test_every_labelled_document_teaches_quality(spark, better, monkeypatch):
+    """More documents than any sample: centre, weights and threshold are those of all of them."""
+    monkeypatch.setattr(quality_classifier, "CELLS", 50)
+    draw = random.Random(3)
+    rows = [(i, " ".join(draw.choice(["word", "Word", "w#", "8"]) for _ in range(draw.randint(1, 12))), int(draw.random() < better)) for i in range(13_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(5)
+    model = quality_classifier.fit(frame.select("doc_id", "text"), frame.select("doc_id", "quality"))
+    x = np.array([quality_classifier.measures(t.encode()) for _, t, _ in rows], float)
+    y = np.array([q for *_, q in rows])
+    assert np.allclose(model.centre, x.mean(axis=0)) and np.allclose(model.spread, np.where(x.std(axis=0) < 1e-6, 1, x.std(axis=0)))
+    good, bad = x[y == 1], x[y == 0]
+    longer = max(len(good), len(bad))
+    at = np.arange(8 * longer)
+    pairs = (good[at % len(good)] - bad[(at + at // longer) % len(bad)]) / model.spread
+    slope = pairs.T @ (1 / (1 + np.exp(pairs @ model.weights))) / len(pairs) - 1e-3 * model.weights
+    assert np.abs(slope).max() < 1e-6
+    scores = np.sort(model.scores(x))
+    assert np.isclose(model.threshold, scores[len(bad) - 1 : len(bad) + 1].mean(), atol=1e-9)
+
+
 def test_bounded_sample_is_whole_where_small(spark):
     rows = spark.createDataFrame([("a", i) for i in range(1000)] + [("b", i) for i in range(5)], "s string, k long")
     counts = {r.s: r["count"] for r in bounded_sample(rows, "s", "k", 20).groupBy("s").count().collect()}
