@@ -274,6 +274,29 @@ def test_every_repeated_run_is_covered(documents, monkeypatch):
         assert missed == [] and sum(map(len, repeats.values())) > 500
 
 
+def test_partners_passed_over_are_asked_again(spark):
+    """The third of three look-alikes is no foremost partner, and is met after all where nothing verified covers the window."""
+    base, arounds = np.random.default_rng(3).integers(0, 4, 96).astype(np.uint8), []
+    for changed in ([30, 60], [35, 55], [33, 58], []):
+        codes = base.copy()
+        codes[changed] ^= 1
+        arounds.append((codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6).tobytes())
+    place = 200 << 24 | 100 << 12 | 100
+    rows = [(8, doc, 7, place, around, None, None, None) for doc, around in enumerate(arounds, 1)]
+    schema = substring_dedup.schema_of(substring_dedup.WINDOW)
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    met = [r for b in substring_dedup._in_buckets(iter([batch])) for r in b.to_pylist()]
+    assert {(r["doc_a"], r["doc_id"]) for r in met if r["open"] == 0} == {(1, 2), (1, 3), (2, 3), (1, 4), (2, 4)}
+    assert sorted((r["doc_id"], r["open"], r["left"], r["right"]) for r in met if r["open"] > 3) == [(1, 4, -1, -1), (2, 4, -1, -1), (3, 4, -1, -1), (4, 5, 45, 45)]
+    pool = spark.createDataFrame([r[:5] for r in rows], substring_dedup.MEMBER)
+    asking = spark.createDataFrame([(8, 4, 7, place, 45, 45)], "bucket long, doc_id long, mark int, place long, left int, right int")
+    uids = {r.doc_id: r.uid for r in pool.selectExpr("doc_id", "xxhash64(doc_id, bigint(mark)) uid").collect()}
+    for end, wanted in ((200, {(1, 4), (2, 4), (3, 4)}), (245, set())):
+        found = spark.createDataFrame([(uids[1], uids[4], 150, end, 150, end)], substring_dedup.SPAN)
+        pairs = {(r.a, r.b) for r in substring_dedup._passed_over(asking, pool, found).collect()}
+        assert pairs == {(uids[x], uids[y]) for x, y in wanted}
+
+
 def test_places_beyond_24_bits():
     centre = (1 << 24) + 70
     place = pa.array([centre << 24 | 50 << 12 | 50], pa.int64())
