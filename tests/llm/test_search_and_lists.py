@@ -297,6 +297,32 @@ def test_partners_passed_over_are_asked_again(spark):
         assert pairs == {(uids[x], uids[y]) for x, y in wanted}
 
 
+def test_what_asks_again_meets_no_crowd(spark):
+    """One word said again and again is no likeness; of many places two documents are held together once each, and only beyond what is covered."""
+    draw, (schema, ddl) = np.random.default_rng(5), (substring_dedup.schema_of(substring_dedup.WINDOW), substring_dedup.MEMBER)
+    packed = lambda codes: (codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6).tobytes()
+    rows = []
+    for doc in range(1, 41):
+        codes = draw.integers(0, 4, 96).astype(np.uint8)
+        codes[30:62] = 2
+        rows.append((8, doc, 7, 200 << 24 | 100 << 12 | 100, packed(codes), None, None, None))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    assert [r for b in substring_dedup._in_buckets(iter([batch])) for r in b.to_pylist()] == []
+
+    base = draw.integers(0, 4, 96).astype(np.uint8)
+    short = base.copy()
+    short[:25] ^= 1
+    short[66:] ^= 1
+    asking = "bucket long, doc_id long, mark int, place long, left int, right int"
+    place = lambda k: (200 + k) << 24 | 100 << 12 | 100
+    uid = spark.range(1).selectExpr("xxhash64(2L, 7L) u").first().u
+    for codes, end, wanted in ((base, 190, 3), (short, 190, 3), (base, 232, 3), (short, 232, 0)):
+        pool = spark.createDataFrame([(8, doc, 7, place(k), packed(codes if doc == 1 else base)) for doc in (1, 2) for k in range(3)], ddl)
+        asks = spark.createDataFrame([(8, 2, 7, place(k), 45, 45) for k in range(3)], asking)
+        found = spark.createDataFrame([(5, uid, 100, end - 50, 150, end)], substring_dedup.SPAN)
+        assert substring_dedup._passed_over(asks, pool, found).count() == wanted
+
+
 def test_places_beyond_24_bits():
     centre = (1 << 24) + 70
     place = pa.array([centre << 24 | 50 << 12 | 50], pa.int64())
