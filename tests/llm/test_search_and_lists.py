@@ -330,3 +330,105 @@ def test_places_beyond_24_bits():
     found = substring_dedup._meet(pa.table(columns))
     assert found is not None and (found["from_a"][0], found["to_a"][0]) == (centre - 50, centre + 50)
     assert "mark int" in substring_dedup.WINDOW
+
+
+def test_repetitive_texts_that_part_too_often_are_not_searched(monkeypatch):
+    """Each of two lines said a hundred times misses five of thirty shingles of the other: no stretch shares three in four."""
+    searched, longest = [], substring_dedup._longest
+    monkeypatch.setattr(substring_dedup, "_longest", lambda *x: searched.append(1) or longest(*x))
+    line = np.arange(30, dtype=np.uint64)
+    other = np.where(line < 5, line + np.uint64(100), line)
+    assert passages(np.tile(line, 100), np.tile(other, 100), 46) == [] and len(searched) < 10
+    assert passages(np.tile(line, 100), np.tile(np.where(line < 3, line + np.uint64(100), line), 100), 46) != []
+    draw = np.random.default_rng(9)
+    for _ in range(200):
+        own, shared = draw.integers(0, 12, draw.integers(5, 60)), draw.random(12) < 0.6
+        brute = [len(set(own[i : i + 7][~shared[own[i : i + 7]]].tolist())) for i in range(len(own) - 6)]
+        assert substring_dedup._misses(own, shared[own], 7) == min(brute, default=0)
+
+
+def test_stretches_too_far_apart_are_known_by_their_sums():
+    """Where two stretches without repeats share three in four, both sums together are not below 0."""
+    draw = np.random.default_rng(10)
+    for _ in range(500):
+        n, m, shared = *draw.integers(46, 80, 2), int(draw.integers(30, 60))
+        shared = min(shared, n, m)
+        sides = [draw.permutation(np.arange(size) < shared) for size in (n, m)]
+        if 4 * shared >= 3 * (n + m - shared):
+            assert sum(substring_dedup._best(x, 46) for x in sides) >= 0
+    assert substring_dedup._best(np.ones(45, bool), 46) < -1000
+
+
+def _found_windows(texts):
+    """Windows of texts as a batch, sorted as tasks read them."""
+    found = substring_dedup._of_texts([t.encode() for t in texts], 0, 46)
+    bucket, row, place, around = map(np.concatenate, zip(*found))
+    order = np.lexsort((place, row, bucket.view(np.int64)))
+    schema = substring_dedup.schema_of(substring_dedup.WINDOW)
+    columns = [bucket.view(np.int64)[order], row[order], np.full(len(row), 7), place[order], [x.tobytes() for x in around[order]]]
+    arrays = [pa.array(x, f.type) for x, f in zip(columns, schema)] + [pa.nulls(len(row), schema.field(k).type) for k in (5, 6, 7)]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def test_a_word_again_and_again_is_compared_from_its_first_place(monkeypatch):
+    """Of a word said dozens of times a document has many windows in one bucket; one of them is compared with other documents'."""
+    texts = [" ".join([prose(2 * i, 60), *["and"] * (30 + i), prose(2 * i + 1, 60)]) for i in range(12)]
+    batch, compared, pairs = _found_windows(texts), [], substring_dedup._compared_pairs
+
+    def counted(table, group, side, open_, first_rows=1 << 31):
+        compared.append(np.stack((group, table.column("doc_id").to_numpy()), axis=1))
+        return pairs(table, group, side, open_, first_rows)
+
+    monkeypatch.setattr(substring_dedup, "_compared_pairs", counted)
+    list(substring_dedup._in_buckets(iter([batch])))
+    buckets = np.array(batch.column("bucket"))
+    assert np.unique(buckets, return_counts=True)[1].max() > 24
+    assert all(np.unique(rows, axis=0, return_counts=True)[1].max() == 1 for rows in compared)
+
+
+def test_packed_windows_come_through(spark, documents):
+    """Windows that share a bucket with another document's come through, sorted; the others do not."""
+    shared = prose(50, 180)
+    texts = [prose(i, 70) + " " + shared + " " + prose(100 + i, 50) for i in range(4)] + [prose(200, 300)]
+    plain = _found_windows(texts).to_pylist()
+    docs = {}
+    for r in plain:
+        docs.setdefault(r["bucket"], set()).add(r["doc_id"])
+    wanted = sorted((r["bucket"], r["doc_id"], r["place"], r["around"]) for r in plain if len(docs[r["bucket"]]) > 1)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for rows in (1, 100):
+            spark.conf.set(size, rows)
+            packed = substring_dedup._windows(substring_dedup._keyed(documents(texts).coalesce(1)), 50).orderBy("part").toArrow()
+            found = [r for b in substring_dedup._unpacked(iter(packed.to_batches())) for r in b.to_pylist()]
+            own = [(r["bucket"], r["doc_id"], r["place"], r["around"]) for r in found if r["doc_a"] is None]
+            links = [r for r in found if r["doc_a"] is not None]
+            if rows == 1:  # each document is a batch, so that none is linked where it is read
+                assert sorted(own) == wanted and links == []
+            else:
+                assert set(own) < set(wanted) and links and all(r["doc_a"] < r["doc_id"] for r in links)
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_pairs_of_documents_are_met_many_at_once():
+    """Stretches of many pairs in one table are those of each pair alone, in any order of the rows."""
+    draw, rows = np.random.default_rng(12), []
+    for pair in range(40):
+        for _ in range(int(draw.integers(1, 9))):
+            at = [int(draw.integers(0, 400)) for _ in range(2)]
+            if draw.random() < 0.5:
+                at[1] = at[0] + 7 * (pair % 3)
+            reach = [int(x) for x in draw.integers(10, 90, 4)]
+            told = (-1, -1) if draw.random() < 0.4 else (int(draw.integers(0, 46)), int(draw.integers(0, 46)))
+            rows.append((pair // 4, 100 + pair % 4, at[0] << 24 | reach[0] << 12 | reach[1], at[1] << 24 | reach[2] << 12 | reach[3], *told))
+    names = ["a", "b", "at_a", "at_b", "left", "right"]
+
+    def met(some):
+        columns = dict(zip(names, (pa.array(x, pa.int64()) for x in zip(*some))))
+        found = substring_dedup._meet(pa.table(columns))
+        return sorted(zip(*(np.asarray(x).tolist() for x in found.values())))
+
+    alone = sorted(r for k in range(40) for r in met([x for x in rows if x[:2] == (k // 4, 100 + k % 4)]))
+    assert met(rows) == alone == met([rows[i] for i in draw.permutation(len(rows))]) and len(alone) > 40
